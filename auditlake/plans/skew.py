@@ -49,3 +49,8 @@ def two_level_agg(df: DataFrame, key: str, spread: str, partial: list[Column], f
         .agg(*final)
     )
     return df.join(hot, key, "left_anti").groupBy(key).agg(*partial).unionByName(salted)
+
+
+def small_side(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
+    """``df`` marked for broadcast if it has at most ``rows`` (narrow) rows, else as it is, for a shuffled join."""
+    return F.broadcast(df) if df.count() <= rows else df
