@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditlake.llm import consolidate, format_duplicates, grouped_splits, survivor
+from auditlake.llm import consolidate, format_duplicates, grouped_splits, split_overlap, survivor
 from auditlake.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,6 +30,31 @@ def p1_splits(spark: SparkSession, folder: str) -> DataFrame:
     return grouped_splits.grouped_splits(rows, "ordinal", entities, table(spark, folder, "split_targets"))
 
 
+def _split_rows(spark: SparkSession, folder: str) -> DataFrame:
+    new = table(spark, folder, "new_detect").select("ordinal", "code", "source", grouped_splits.split_key(F.col("split")).alias("part"), F.lit(False).alias("held"))
+    held = table(spark, folder, "detect_eval").select("ordinal", "code", "source", grouped_splits.split_key(F.col("split")).alias("part"), F.lit(True).alias("held"))
+    return new.unionByName(held)
+
+
+def _overlaps(rows: DataFrame) -> DataFrame:
+    part, held = F.col("part"), F.col("held")
+    return split_overlap.overlaps(rows, "ordinal", "code", (part == "train") & ~held, held | part.isin("val", "test"))
+
+
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs of a training record and an evaluation record with the same program text."""
+    pairs = _overlaps(_split_rows(spark, folder))
+    return pairs.select(F.least("train_id", "eval_id").alias("ordinal_a"), F.greatest("train_id", "eval_id").alias("ordinal_b"))
+
+
+def p2_report(spark: SparkSession, folder: str) -> DataFrame:
+    """For each evaluation split and source, the evaluation records that occur in training, and the pairs."""
+    rows = _split_rows(spark, folder)
+    held = rows.select(F.col("ordinal").alias("eval_id"), F.coalesce("part", F.lit("eval")).alias("split"), "source")
+    pairs = _overlaps(rows).groupBy("eval_id").agg(F.count("*").alias("n"))
+    return pairs.join(held, "eval_id").groupBy("split", "source").agg(F.count("*").alias("leaked_records"), F.sum("n").alias("pairs"))
+
+
 def _forms(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "new_detect").select("ordinal", "code").unionByName(table(spark, folder, "new_triage").select("ordinal", "code"))
 
