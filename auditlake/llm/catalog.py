@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditlake.llm import bpe, consolidate, format_duplicates, grouped_splits, split_overlap, survivor
+from auditlake.llm import bpe, consolidate, format_duplicates, grouped_splits, leakage, split_overlap, survivor
 from auditlake.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -112,6 +112,11 @@ def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.encode(table(spark, folder, "documents"), "doc_id", "text", f"{tokenizers}/byte_bpe_50k.json")
 
 
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents with the held-out items of which they contain a passage."""
+    return leakage.leaks(table(spark, folder, "documents"), "doc_id", "text", table(spark, folder, "benchmark_items"), "item_id", "text")
+
+
 def queries() -> dict[str, Query]:
     return {k: f for k, f in globals().items() if k.startswith("p") and k[1:2].isdigit()}
 
