@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditlake.llm import bpe, consolidate, format_duplicates, grouped_splits, leakage, split_overlap, survivor
+from auditlake.llm import bpe, broken_pairs, consolidate, format_duplicates, grouped_splits, leakage, split_overlap, survivor
 from auditlake.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -106,6 +106,11 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return best.where(F.col("records") >= 2).select("group_id", *(F.coalesce(c, F.lit(-1).cast("long")).alias(c) for c in ("advisory_row", "fix_commit_row", "code_fixed_row")))
 
 
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Defective question-answer pairs with the type of their defect."""
+    return broken_pairs.defects(table(spark, folder, "trainingdata"), "conv_id", "messages")
+
+
 def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
     """Every document with the ids of its text by the byte-level BPE vocabulary."""
     tokenizers = spark.conf.get("spark.auditlake.tokenizers", "/opt/tokenizers")
