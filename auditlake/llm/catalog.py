@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditlake.llm import bpe, broken_pairs, consolidate, format_duplicates, grouped_splits, leakage, split_overlap, survivor
+from auditlake.llm import bpe, broken_pairs, consolidate, format_duplicates, grouped_splits, leakage, sentences, split_overlap, survivor
 from auditlake.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -122,6 +122,12 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return leakage.leaks(table(spark, folder, "documents"), "doc_id", "text", table(spark, folder, "benchmark_items"), "item_id", "text")
 
 
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    """The sentences of all documents that aren't program text."""
+    docs = table(spark, folder, "documents").where(~F.col("kind").eqNullSafe("source"))
+    return sentences.sentences(docs, "doc_id", "text")
+
+
 def queries() -> dict[str, Query]:
     return {k: f for k, f in globals().items() if k.startswith("p") and k[1:2].isdigit()}
 
