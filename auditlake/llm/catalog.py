@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditlake.llm import bpe, broken_pairs, consolidate, format_duplicates, grouped_splits, leakage, sentences, split_overlap, survivor
+from auditlake.llm import bpe, broken_pairs, consolidate, format_duplicates, grouped_splits, leakage, sentences, split_overlap, survivor, syntax
 from auditlake.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -106,6 +106,27 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return best.where(F.col("records") >= 2).select("group_id", *(F.coalesce(c, F.lit(-1).cast("long")).alias(c) for c in ("advisory_row", "fix_commit_row", "code_fixed_row")))
 
 
+def _verdicts(spark: SparkSession, folder: str) -> DataFrame:
+    new, old = table(spark, folder, "new_detect"), table(spark, folder, "candidates")
+    path = syntax.language_of_path(F.col("file_path"))
+    detect = syntax.verdicts(new.select("ordinal", "code", "lang"), "ordinal", {"code": (F.col("code"), syntax.language_of(F.col("lang")))})
+    pairs = syntax.verdicts(old.select("ordinal", "code_vuln", "code_fixed", "file_path"), "ordinal", {c: (F.col(c), path) for c in ("code_vuln", "code_fixed")})
+    return detect.unionByName(pairs)
+
+
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Values that are not in the grammar of their language."""
+    return _verdicts(spark, folder).where("broken").select("ordinal", "field_name")
+
+
+def p6_rates(spark: SparkSession, folder: str) -> DataFrame:
+    """For each repository and language, the values that were read and those that are broken."""
+    new = table(spark, folder, "new_detect").select("ordinal", "repo_url", syntax.language_of(F.col("lang")).alias("lang"))
+    old = table(spark, folder, "candidates").select("ordinal", "repo_url", syntax.language_of_path(F.col("file_path")).alias("lang"))
+    rows = new.unionByName(old).select("ordinal", "lang", grouped_splits.repo_key(F.col("repo_url")).alias("repo_key"))
+    return syntax.rates(_verdicts(spark, folder).join(rows, "ordinal"))
+
+
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     """Defective question-answer pairs with the type of their defect."""
     return broken_pairs.defects(table(spark, folder, "trainingdata"), "conv_id", "messages")
