@@ -23,9 +23,17 @@ def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+def _load() -> None:
+    from auditlake.queries import audits, candidates, records, star  # noqa: F401
+
+
 def queries() -> dict[str, Query]:
+    """Every query of the core."""
+    _load()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    """The SQL of every query of the core that has one."""
+    _load()
     return dict(_ORACLES)

@@ -46,6 +46,22 @@ NUMBER_PATTERNS = [
     ("CRYPTO-009", r"RSA\.generate\s*\(\s*(\d{3,5})\s*\)", 2_048),
 ]
 COMMENT = r"^(#|//|/\*|\*)"
+#: Literal parts, in lower case, of which a line that matches has at least one.
+HINTS = {
+    "CRYPTO-001": ["hashlib"],
+    "CRYPTO-002": ["hashlib"],
+    "CRYPTO-003": ["des"],
+    "CRYPTO-004": ["rc4"],
+    "CRYPTO-005": ["ecb"],
+    "CRYPTO-006": ["iv", "nonce", "cbc", "cfb", "ofb"],
+    "CRYPTO-007": ["aes.new", "fernet", "cipher", "key", "secret"],
+    "CRYPTO-008": ["random."],
+    "CRYPTO-009": ["rsa.generate", "secp", "sect163"],
+    "CRYPTO-010": ["protocol_", "_create_unverified_context", "cert_none", "verify"],
+    "CRYPTO-011": ["passw", "pwd"],
+    "CRYPTO-013": ["==", "!="],
+}
+NUMBER_HINTS = ["pbkdf2_hmac", "bcrypt", "scrypt", "rsa.generate"]
 DETECT_SIGNALS = [
     (r"""hashlib\.md5|hashlib\.new\(\s*["']md5""", "CWE-327", "MEDIUM"),
     (r"""hashlib\.sha1|hashlib\.new\(\s*["']sha1""", "CWE-327", "MEDIUM"),
@@ -99,20 +115,33 @@ def source_lines(df: DataFrame, text: str, *keep: str) -> DataFrame:
     return df.select(*keep, F.posexplode(lines(F.col(text))).alias("at", "raw")).select(*keep, (F.col("at") + 1).alias("line"), "raw")
 
 
+def _may_match(low: Column, hints: list[str]) -> Column:
+    out = low.contains(hints[0])
+    for hint in hints[1:]:
+        out = out | low.contains(hint)
+    return out
+
+
 def line_rules(raw: Column) -> Column:
-    """The sorted distinct rules that a line breaks; blank lines and comments break none."""
-    stripped = F.regexp_replace(raw, r"(?U)^\s+|\s+$", "")
-    plain = [F.when(raw.rlike(f"(?i){p}"), rule) for rule, p in LINE_PATTERNS.items()]
-    numbers = [F.when(F.regexp_extract(raw, f"(?i){p}", 1).try_cast("bigint") < least, rule) for rule, p, least in NUMBER_PATTERNS]
+    """The sorted distinct rules that a line breaks; blank lines and comments break none.
+
+    A pattern is only tried on lines that hold one of its literal parts, since a search for a part costs far less.
+    """
+    low = F.lower(raw)
+    plain = [F.when(_may_match(low, HINTS[rule]) & raw.rlike(f"(?i){p}"), rule) for rule, p in LINE_PATTERNS.items()]
+    numbers = [F.when(low.contains(hint) & (F.regexp_extract(raw, f"(?i){p}", 1).try_cast("bigint") < least), rule) for (rule, p, least), hint in zip(NUMBER_PATTERNS, NUMBER_HINTS, strict=True)]
     found = F.array_sort(F.array_distinct(F.array_compact(F.array(*plain, *numbers))))
-    return F.when((stripped == "") | stripped.rlike(COMMENT), F.array().cast("array<string>")).otherwise(found)
+    skipped = ~raw.rlike(r"(?U)\S") | raw.rlike(r"(?U)^\s*(#|//|/\*|\*)")
+    return F.when(~skipped, found)
 
 
 def line_findings(df: DataFrame, text: str, *keep: str) -> DataFrame:
     """One row for each rule and line: (keep..., line, rule_id, column_at, snippet)."""
     rows = source_lines(df, text, *keep)
     stripped = F.regexp_replace("raw", r"(?U)^\s+|\s+$", "")
-    hits = rows.select(*keep, "line", stripped.alias("snippet"), (F.length(F.regexp_extract("raw", r"(?U)^(\s*)", 1))).alias("column_at"), F.explode(line_rules(F.col("raw"))).alias("rule_id"))
+    # the outer explode keeps the optimizer from computing the rules once more for a filter before it
+    hits = rows.select(*keep, "line", "raw", F.explode_outer(line_rules(F.col("raw"))).alias("rule_id")).where(F.col("rule_id").isNotNull())
+    hits = hits.select(*keep, "line", "rule_id", F.length(F.regexp_extract("raw", r"(?U)^(\s*)", 1)).alias("column_at"), stripped.alias("snippet"))
     return hits.select(*keep, "line", "rule_id", "column_at", "snippet")
 
 
