@@ -58,9 +58,10 @@ def cwe_list(value: Column) -> Column:
 
 def lines(text: Column) -> Column:
     """The lines of a text; an end at the very end adds none, null and empty text have none."""
-    parts = F.split(text, LINE_END)
-    kept = F.when(F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
-    return F.coalesce(kept, F.array().cast("array<string>"))
+    last = F.substring(text, -1, 1).isin("\n", "\r", "\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x85", "\u2028", "\u2029")
+    cut = F.when(text.endswith("\r\n"), 2).when(last, 1).otherwise(0)
+    body = F.when(cut > 0, text.substr(F.lit(1), F.length(text) - cut)).otherwise(text)
+    return F.when(F.length(text) > 0, F.split(body, LINE_END)).otherwise(F.array().cast("array<string>"))
 
 
 def estimated_tokens(text: Column) -> Column:

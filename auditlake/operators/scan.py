@@ -97,6 +97,8 @@ FIXES = [
     ("CRYPTO-012", r"(bcrypt\.gensalt\s*\(\s*rounds\s*=\s*)(\d+)(\s*\))", "${1}12$3"),
     ("CRYPTO-012", r"(scrypt\s*\([^)]*?n\s*=\s*)(\d+)(\s*)", "${1}16384$3"),
 ]
+#: Literal parts of which a line that a fix changes has at least one.
+FIX_HINTS = ["hashlib", "RSA.generate", "verify", "ssl.SSLContext", "pbkdf2_hmac", "bcrypt", "scrypt"]
 UNSAFE_C = r"\b(strcpy|strcat|gets|sprintf|scanf)\s*\("
 
 
@@ -122,12 +124,11 @@ def _may_match(low: Column, hints: list[str]) -> Column:
     return out
 
 
-def line_rules(raw: Column) -> Column:
-    """The sorted distinct rules that a line breaks; blank lines and comments break none.
+def line_rules(raw: Column, low: Column) -> Column:
+    """The sorted distinct rules that a line breaks, null for blank lines and comments; ``low`` is it in lower case.
 
     A pattern is only tried on lines that hold one of its literal parts, since a search for a part costs far less.
     """
-    low = F.lower(raw)
     plain = [F.when(_may_match(low, HINTS[rule]) & raw.rlike(f"(?i){p}"), rule) for rule, p in LINE_PATTERNS.items()]
     numbers = [F.when(low.contains(hint) & (F.regexp_extract(raw, f"(?i){p}", 1).try_cast("bigint") < least), rule) for (rule, p, least), hint in zip(NUMBER_PATTERNS, NUMBER_HINTS, strict=True)]
     found = F.array_sort(F.array_distinct(F.array_compact(F.array(*plain, *numbers))))
@@ -137,10 +138,11 @@ def line_rules(raw: Column) -> Column:
 
 def line_findings(df: DataFrame, text: str, *keep: str) -> DataFrame:
     """One row for each rule and line: (keep..., line, rule_id, column_at, snippet)."""
-    rows = source_lines(df, text, *keep)
+    # a column of its own, so that it is computed once for all rules
+    rows = source_lines(df, text, *keep).withColumn("low", F.lower("raw"))
     stripped = F.regexp_replace("raw", r"(?U)^\s+|\s+$", "")
     # the outer explode keeps the optimizer from computing the rules once more for a filter before it
-    hits = rows.select(*keep, "line", "raw", F.explode_outer(line_rules(F.col("raw"))).alias("rule_id")).where(F.col("rule_id").isNotNull())
+    hits = rows.select(*keep, "line", "raw", F.explode_outer(line_rules(F.col("raw"), F.col("low"))).alias("rule_id")).where(F.col("rule_id").isNotNull())
     hits = hits.select(*keep, "line", "rule_id", F.length(F.regexp_extract("raw", r"(?U)^(\s*)", 1)).alias("column_at"), stripped.alias("snippet"))
     return hits.select(*keep, "line", "rule_id", "column_at", "snippet")
 
@@ -178,15 +180,20 @@ def mock_triage(code: Column) -> Column:
 
 
 def fixed_line(raw: Column) -> Column:
-    """A line after the mechanical fixes of all rules, in order."""
+    """A line after the mechanical fixes of all rules, in order.
+
+    No fix makes a line match another, so lines without any of their literal parts are returned as they are.
+    """
+    fixed = raw
     for _, pattern, replacement in FIXES:
-        raw = F.regexp_replace(raw, pattern, replacement.replace("${1}", "$1"))
-    return raw
+        fixed = F.regexp_replace(fixed, pattern, replacement.replace("${1}", "$1"))
+    return F.when(_may_match(raw, FIX_HINTS) | _may_match(F.lower(raw), ["hashlib"]), fixed).otherwise(raw)
 
 
 def fix_changes(df: DataFrame, text: str, *keep: str) -> DataFrame:
     """(keep..., line, before, after): the lines that the mechanical fixes change."""
-    rows = source_lines(df, text, *keep).withColumn("after", fixed_line(F.col("raw")))
+    rows = source_lines(df, text, *keep).where(_may_match(F.col("raw"), FIX_HINTS) | _may_match(F.lower("raw"), ["hashlib"]))
+    rows = rows.withColumn("after", fixed_line(F.col("raw")))
     return rows.where(F.col("after") != F.col("raw")).select(*keep, "line", F.rtrim("raw").alias("before"), F.rtrim("after").alias("after"))
 
 

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from auditlake.catalog import query
-from auditlake.functions import text
 from auditlake.operators import metrics, relational, scan, source_ast
 from auditlake.queries.sql import LINE_END, empty, lines, quoted
 from auditlake.sources.tables import table
@@ -90,9 +89,8 @@ SELECT f.ordinal, CAST(line AS INTEGER) AS line, rule_id, array_to_string(parts[
 )
 def finding_context(spark: SparkSession, d: str) -> DataFrame:
     """Each finding with the lines from three before to four after."""
-    rows = table(spark, d, "new_detect").select("ordinal", "code", text.lines(F.col("code")).alias("parts"))
-    hits = rows.select("ordinal", "code", F.posexplode("parts").alias("at", "raw")).select("ordinal", "code", (F.col("at") + 1).alias("line"), F.explode_outer(scan.line_rules(F.col("raw"))).alias("rule_id"))
-    hits = hits.where(F.col("rule_id").isNotNull())
+    rows = table(spark, d, "new_detect").select("ordinal", "code")
+    hits = scan.line_findings(rows, "code", "ordinal", "code")
     return hits.select("ordinal", "line", "rule_id", scan.context(F.col("code"), F.col("line"), 3, 4).alias("context"), F.concat_ws(":", "rule_id", "ordinal", "line").alias("fingerprint"))
 
 
