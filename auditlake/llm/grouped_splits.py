@@ -19,7 +19,7 @@ HEAVY_PARTS = 2000
 #: Chunks in which the roots of one size band are ranked.
 RANK_CHUNKS = 1024
 
-_REPO = r"^\s*(?:[a-z][a-z0-9+.\-]*://)?(?:[^/@\s]*@)?(?:www\.)?([^/:@\s?#]+)(?::[0-9]+/)?[:/]+([^/\s?#]+)/+([^/\s?#]+)"
+_REPO = r"^\s*(?:[a-z][a-z0-9+.\-]*://)?(?:[^/@\s]*@)?(?:www\.)?([^/:@\s?#]+)(?::[0-9]+(?=/))?[:/]+([^/\s?#]+)/+([^/\s?#]+)"
 
 
 def repo_key(url: Column) -> Column:
@@ -87,7 +87,7 @@ def _contract(edges: DataFrame, store: Store) -> tuple[DataFrame, DataFrame]:
     return roots, store.write(whole, "forest")
 
 
-def entity_groups(df: DataFrame, id_col: str, entities: dict[str, tuple[Column, Column]], store: Store) -> tuple[DataFrame, DataFrame]:
+def entity_groups(df: DataFrame, identifier: Column, entities: dict[str, tuple[Column, Column]], store: Store) -> tuple[DataFrame, DataFrame]:
     """Records with the root of their group, (id, root, key), and the spanning forest as (u, v, weight).
 
     ``entities`` gives each kind of entity by its raw spelling and its key. Vertices are ``kind:key`` and, apart from
@@ -98,7 +98,7 @@ def entity_groups(df: DataFrame, id_col: str, entities: dict[str, tuple[Column,
     names = list(entities)
     raws = [F.when(entities[k][1].isNotNull(), F.concat(F.lit(f"{k}~"), entities[k][0])) for k in names]
     keys = [F.concat(F.lit(f"{k}:"), entities[k][1]) for k in names]
-    rows = df.select(F.col(id_col).alias("id"), entities[names[0]][1].alias("key"), F.array_compact(F.array(*raws)).alias("raws"), F.array_compact(F.array(*keys)).alias("keys"))
+    rows = df.select(identifier.alias("id"), entities[names[0]][1].alias("key"), F.array_compact(F.array(*raws)).alias("raws"), F.array_compact(F.array(*keys)).alias("keys"))
     pairs = F.transform(F.arrays_zip("raws", "keys"), lambda x: F.struct(x["raws"].alias("u"), x["keys"].alias("v")))
     chain = F.transform(F.sequence(F.lit(1), F.size("keys") - 1), lambda i: F.struct(F.col("keys")[0].alias("u"), F.get("keys", i).alias("v")))
     links = F.when(F.size("keys") > 1, F.concat(pairs, chain)).otherwise(pairs)
@@ -157,7 +157,7 @@ def grouped_splits(df: DataFrame, id_col: str, entities: dict[str, tuple[Column,
     identifier is dealt like any other. An empty table gives no rows.
     """
     store = Store(df.sparkSession, "splits")
-    records, _ = entity_groups(df, id_col, entities, store)
+    records, _ = entity_groups(df, F.col(id_col), entities, store)
     sizes = store.write(records.groupBy("root").agg(F.count("*").alias("size")), "sizes")
     total = sizes.agg(F.sum("size").alias("total"))
     wanted = targets.where(F.col("share") > 0).agg(F.collect_list("split").alias("splits"), F.collect_list("share").alias("shares"), F.sum("share").alias("all"))
@@ -187,6 +187,7 @@ def divided_groups(df: DataFrame, id_col: str, entities: dict[str, tuple[Column,
     forest, so every spelling of a key counts for it.
     """
     store = Store(df.sparkSession, "divided")
-    records, _ = entity_groups(df.withColumn("_split", split).where(F.col("_split").isNotNull()).withColumn("_id", F.struct(F.col(id_col), F.col("_split"))), "_id", entities, store)
+    identifier = F.struct(F.col(id_col).alias("_row"), split.alias("_split"))
+    records, _ = entity_groups(df.where(split.isNotNull()), identifier, entities, store)
     groups = records.where(F.col("key").isNotNull()).groupBy("root").agg(F.min("key").alias("key"), F.count_distinct("id._split").alias("n"))
     return groups.where(F.col("n") >= 2).select("key")
