@@ -20,7 +20,7 @@ _JS_WORDS = frozenset(
     "break case catch class const continue debugger default delete do else export extends finally for function if import in instanceof new return super switch this throw try typeof var void while with null true false".split()
 )
 _JAVA_WORDS = frozenset(
-    "abstract assert boolean break byte case catch char class const continue default do double else enum extends final finally float for goto if implements import instanceof int interface long native new package private protected public return short static strictfp super switch synchronized this throw throws transient try void volatile while null true false".split()
+    "abstract assert boolean break byte case catch char class const continue default do double else enum extends final finally float for goto if implements import instanceof int interface long native new package private protected public return short static strictfp super switch synchronized this throw throws transient try void volatile while yield null true false".split()
 )
 _GO_WORDS = frozenset(
     "break case chan const continue default defer else fallthrough for func go goto if import interface map package range return select struct switch type var".split()
@@ -621,7 +621,7 @@ class _Java(_Parser):
                 if self.take("new"):
                     self._creation()
                 else:
-                    self.need("i", "this", "super", "class")
+                    self.need("i", "this", "super", "class", "yield")
             elif self.take("("):
                 self.items(")", self.assign)
             elif self.peek() == "[" and self.peek(1) != "]":
@@ -746,7 +746,7 @@ class _Java(_Parser):
             if self.peek() != ";":
                 self.assign()
             self.need(";")
-        elif self.take("throw"):
+        elif self.take("throw", "yield"):
             self.assign()
             self.need(";")
         elif self.take("break", "continue"):
@@ -815,7 +815,11 @@ class _Java(_Parser):
 
     def _arm(self) -> None:
         if self.take("->"):
-            self.statement()
+            if self.peek() in ("C", "throw"):
+                self.statement()
+            else:
+                self.assign()
+                self.need(";")
         else:
             self.need(":")
             if self.peek():
