@@ -27,8 +27,9 @@ def last_wins(df: DataFrame, keys: list[str], ordinal: str) -> DataFrame:
 
 def owners(df: DataFrame, key: str, identifier: str, ordinal: str) -> DataFrame:
     """(identifier, owner): rows whose key an earlier row has, with the identifier of the first one."""
-    first = df.groupBy(key).agg(F.min(F.struct(F.col(ordinal).alias("o"), F.col(identifier).alias("owner"))).alias("f"), F.count("*").alias("n")).where(F.col("n") > 1)
-    return df.join(first.select(key, "f.o", "f.owner"), key).where(F.col(ordinal) > F.col("o")).select(identifier, "owner")
+    rows = df.select(F.col(key).alias("k"), F.col(identifier).alias("i"), F.col(ordinal).alias("at"))
+    first = rows.groupBy("k").agg(F.min(F.struct(F.col("at").alias("first_at"), F.col("i").alias("owner"))).alias("f"), F.count("*").alias("n")).where(F.col("n") > 1)
+    return rows.join(first.select("k", "f.first_at", "f.owner"), "k").where(F.col("at") > F.col("first_at")).select(F.col("i").alias(identifier), "owner")
 
 
 def carry_forward(value: str, group: str, ordinal: str) -> Column:
