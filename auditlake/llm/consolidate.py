@@ -12,10 +12,10 @@ from pyspark.sql import functions as F
 
 from auditlake.plans.store import Store
 
-#: Rate of the exponential shifts: the chance that an edge is cut by one level is about 1 - exp(-RATE).
-RATE = 0.5
-#: Shifts are at most this long, so a cluster has grown to its end after as many rounds.
-LONGEST_SHIFT = 3
+#: Rate of the exponential shifts: the chance that the waves of a level cut an edge is about 1 - exp(-RATE).
+RATE = 0.05
+#: Rounds that the waves of a level grow. A vertex that its wave would reach later is left to the next level.
+ROUNDS = 3
 
 
 def advisory_key(field: Column) -> Column:
@@ -43,19 +43,20 @@ def vertices(id_col: Column, keys: dict[str, Column]) -> Column:
 def _shift(vertex: Column, level: int) -> Column:
     """The exponential shift of a vertex, from a hash so that a lost task draws it again."""
     uniform = (F.pmod(F.xxhash64(vertex, F.lit(level)), F.lit(1 << 40)) + F.lit(1)) / F.lit(float(1 << 40))
-    return F.least(F.lit(float(LONGEST_SHIFT)), -F.log(uniform) / F.lit(RATE))
+    return -F.log(uniform) / F.lit(RATE)
 
 
 def _clusters(edges: DataFrame, level: int) -> DataFrame:
     """(v, owner): each vertex of ``edges`` (both directions) with the cluster whose wave reaches it first.
 
     A wave from ``u`` starts at -shift(u) and moves one edge a round; arrival is the least of start plus distance
-    over all ``u``, ties to the smaller vertex. No shift exceeds LONGEST_SHIFT, so that many rounds settle it.
+    over all ``u`` within ROUNDS edges, ties to the smaller vertex. An owner is always linked to what it owns, so
+    contraction is right after any number of rounds; more of them only leave fewer levels.
     """
     own = F.struct((-_shift(F.col("v"), level)).alias("at"), F.col("v").alias("owner"))
     sent = F.struct((F.lit(1.0) - _shift(F.col("u"), level)).alias("at"), F.col("u").alias("owner"))
     state = edges.groupBy("v").agg(F.min(sent).alias("m")).select("v", F.least("m", own).alias("m"))
-    for _ in range(LONGEST_SHIFT - 1):
+    for _ in range(ROUNDS - 1):
         reached = edges.join(state.select(F.col("v").alias("u"), "m"), "u").select(
             "v", F.struct((F.col("m.at") + 1).alias("at"), F.col("m.owner").alias("owner")).alias("m")
         )
