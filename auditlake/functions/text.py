@@ -109,3 +109,37 @@ def patch_side(patch: Column, side: str) -> Column:
 def first_present(*values: Column) -> Column:
     """The first value that is neither null nor empty, else the empty text."""
     return F.coalesce(*(F.nullif(v, F.lit("")) for v in values), F.lit(""))
+
+
+def without_line_numbers(text: Column) -> Column:
+    """The text without ``NN:`` before its lines, if at least half of the lines that aren't blank have one."""
+    own = lines(text)
+    full = F.filter(own, lambda x: F.trim(x) != "")
+    numbered = F.filter(full, lambda x: x.rlike(r"^\s*\d+:"))
+    cut = F.array_join(F.transform(own, lambda x: F.regexp_replace(x, r"^\s*\d+: ?", "")), "\n")
+    return F.when((F.size(numbered) > 0) & (F.size(numbered) * 2 >= F.size(full)), cut).otherwise(text)
+
+
+def severity(value: Column, default: str = "MEDIUM") -> Column:
+    """A severity in upper case; WARNING is MEDIUM, ERROR is HIGH, and any other is the default."""
+    up = F.upper(F.trim(F.coalesce(value, F.lit(""))))
+    return F.when(up == "WARNING", "MEDIUM").when(up == "ERROR", "HIGH").when(up.isin("INFO", "LOW", "MEDIUM", "HIGH", "CRITICAL"), up).otherwise(default)
+
+
+def verdict(value: Column) -> Column:
+    """``Confirm`` or ``Reject`` if the text contains it in any case, else ``?``."""
+    low = F.lower(F.coalesce(value, F.lit("")))
+    return F.when(low.contains("confirm"), "Confirm").when(low.contains("reject"), "Reject").otherwise("?")
+
+
+def rule_id(check_id: Column) -> Column:
+    """The rule in a scanner's check id: an embedded ``CRYPTO-000``, else what follows the last dot."""
+    inner = F.upper(F.regexp_extract(check_id, r"(?i)(crypto-\d{3})", 1))
+    return F.when(inner != "", inner).otherwise(F.element_at(F.split(check_id, r"\."), -1))
+
+
+def confidence(value: Column) -> Column:
+    """low, medium and high as 0.3, 0.6 and 0.9; a number within 0 and 1; else 0.5."""
+    low = F.lower(F.trim(value))
+    number = low.try_cast("double")
+    return F.when(low == "low", 0.3).when(low == "medium", 0.6).when(low == "high", 0.9).otherwise(F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), number)), F.lit(0.5)))

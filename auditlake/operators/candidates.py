@@ -135,3 +135,25 @@ def csv_outcomes(df: DataFrame, cwes: Column) -> DataFrame:
         }
     )
     return df.select(F.coalesce(outcome, F.lit("kept")).alias("outcome")).groupBy("outcome").agg(F.count("*").alias("n"))
+
+
+# Folders that hold no implementation, and words of crypto files.
+NON_IMPLEMENTATION = "test tests testing testdata fixtures fixture examples example docs doc benchmarks benchmark samples sample".split()
+PATH_TERMS = "crypt cipher hash key token sign secret ssl tls jwt rsa auth password random cert".split()
+
+
+def file_score(path: Column, patch: Column, package: Column) -> Column:
+    """How likely a changed file is the implementation of a fix; -10000 for tests, examples and documents."""
+    low = F.lower(F.replace(F.coalesce(path, F.lit("")), F.lit("\\"), F.lit("/")))
+    leaf = F.regexp_extract(low, r"([^/]*)$", 1)
+    folders = F.slice(F.split(low, "/"), F.lit(1), F.greatest(F.lit(0), F.size(F.split(low, "/")) - 1))
+    outside = (low == "") | F.exists(folders, lambda x: x.isin(NON_IMPLEMENTATION)) | leaf.rlike(r"^test_|_test\.py$|^conftest\.py$|fixture|example|benchmark")
+    squeezed = lambda c: F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), "[^a-z0-9]+", "")
+    hits = sum((F.when(leaf.contains(t), 1).otherwise(0) for t in PATH_TERMS), F.lit(0))
+    changed = F.size(F.filter(lines(F.coalesce(patch, F.lit(""))), lambda x: x.rlike(r"^(\+(?!\+\+)|-(?!--))")))
+    points = lambda c, n: F.when(c, n).otherwise(0)
+    score = (
+        points((F.length(squeezed(package)) >= 3) & squeezed(path).contains(squeezed(package)), 8) + points(low.rlike(r"(^|/)(src|lib|libs)/"), 4) + points(low.rlike(r"^(src|lib|libs)/"), 2)
+        + F.when(hits > 0, F.least(hits, F.lit(3)) + 4).otherwise(0) + F.least((changed / 10).cast("int"), F.lit(4)) + points(F.length(low) <= 80, 1)
+    )
+    return F.when(outside, -10_000).otherwise(score)

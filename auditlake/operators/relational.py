@@ -164,3 +164,28 @@ def fold_merge(df: DataFrame, key: str, ordinal: str) -> DataFrame:
 
     grouped = rows.groupBy(key).agg(ordered.alias("_rows"))
     return grouped.select(key, F.aggregate(F.slice("_rows", F.lit(2), F.size("_rows")), start, step).alias("_kept")).select(key, f"_kept.r.{ordinal}", *(f"_kept.r.{f}" for f in fields))
+
+
+def lookup_status(df: DataFrame, other: DataFrame, key: str, usable: Column) -> DataFrame:
+    """``df`` with ``status``: ``attached`` if ``other`` has its key and is usable, ``invalid`` if not usable, else
+    ``missing``. Keys of ``other`` are unique; a null key is missing."""
+    side = other.select(key, usable.alias("_usable"))
+    status = F.when(F.col("_usable").isNull(), "missing").when(F.col("_usable"), "attached").otherwise("invalid")
+    return df.join(side, key, "left").select(*df.columns, status.alias("status"))
+
+
+def positional_split(df: DataFrame, group: str, ordinal: str, counts: dict[str, int]) -> DataFrame:
+    """``df`` with ``split``: in each group the first rows to the first split, and so on; later rows have null."""
+    place = F.row_number().over(Window.partitionBy(group).orderBy(ordinal))
+    out, upto = F.lit(None).cast("string"), sum(counts.values())
+    for name, n in reversed(counts.items()):
+        out = F.when(place <= upto, name).otherwise(out)
+        upto -= n
+    return df.withColumn("split", out)
+
+
+def expanded(templates: DataFrame, names: DataFrame, group: str, ordinal: str, most: int) -> DataFrame:
+    """Every template with every name, the first ``most`` of each group. Both sides are small lists of literals."""
+    rows = templates.crossJoin(F.broadcast(names))
+    place = F.row_number().over(Window.partitionBy(group).orderBy(ordinal, *names.columns))
+    return rows.withColumn("_place", place).where(F.col("_place") <= most).drop("_place")

@@ -264,3 +264,21 @@ def unsafe_c_calls(df: DataFrame, text: str, key: str) -> DataFrame:
     kept = rows.where(~F.col("code").rlike(r"^\s*$|^\s*\*"))
     calls = kept.select(key, "line", F.explode(F.regexp_extract_all("code", F.lit(UNSAFE_C), F.lit(1))).alias("call"))
     return calls.select(key, "line", F.concat(F.lit("c-unsafe-api-"), "call").alias("rule_id"), F.when(F.col("call") == "gets", "CRITICAL").otherwise("HIGH").alias("severity"))
+
+
+def changed_lines(df: DataFrame, patch: str, key: str) -> DataFrame:
+    """(key, side, line): lines that unified diffs remove (``-``, old numbers) or add (``+``, new numbers).
+
+    A hunk's header sets both counters; context moves both, a removed line the old and an added one the new.
+    """
+    rows = source_lines(df, patch, key)
+    head = r"^@@ -(\d+)(?:,\d+)? \+(\d+)"
+    rows = rows.withColumns({"old": F.regexp_extract("raw", head, 1).try_cast("int"), "new": F.regexp_extract("raw", head, 2).try_cast("int")})
+    upto = Window.partitionBy(key).orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumns({"hunk": F.last(F.when(F.col("old").isNotNull(), F.col("line")), ignorenulls=True).over(upto), "old": F.last("old", ignorenulls=True).over(upto), "new": F.last("new", ignorenulls=True).over(upto)})
+    body = rows.where(F.col("hunk").isNotNull() & (F.col("line") > F.col("hunk")) & ~F.col("raw").startswith("\\"))
+    inside = Window.partitionBy(key, "hunk").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
+    sign = F.substring("raw", 1, 1)
+    before = lambda other: F.coalesce(F.sum(F.when(sign == other, 0).otherwise(1)).over(inside), F.lit(0))
+    numbered = body.select(key, sign.alias("side"), F.when(sign == "-", F.col("old") + before("+")).otherwise(F.col("new") + before("-")).cast("int").alias("line"))
+    return numbered.where(F.col("side").isin("-", "+"))

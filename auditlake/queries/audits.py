@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from auditlake.catalog import query
+from auditlake.functions import text
 from auditlake.operators import metrics, relational, scan, source_ast
 from auditlake.queries.sql import LINE_END, empty, lines, quoted
 from auditlake.sources.tables import table
@@ -362,3 +363,64 @@ def set_anti_join(spark: SparkSession, d: str) -> DataFrame:
 def ranked(df: DataFrame, *order: object) -> DataFrame:
     """``df`` with a rank from 1 in the given order."""
     return df.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
+
+
+@query("line_numbers_removed", f"""
+WITH p AS (SELECT ordinal, code, regexp_split_to_array(code, '{LINE_END}') AS parts FROM new_detect WHERE code <> ''), q AS (SELECT ordinal, code, CASE WHEN parts[len(parts)] = '' THEN parts[1:len(parts) - 1] ELSE parts END AS parts FROM p),
+n AS (SELECT *, len(list_filter(parts, lambda x: trim(x) <> '')) AS filled, len(list_filter(parts, lambda x: trim(x) <> '' AND regexp_matches(x, '^\\s*\\d+:'))) AS numbered FROM q)
+SELECT ordinal, array_to_string(list_transform(parts, lambda x: regexp_replace(x, '^\\s*\\d+: ?', '')), chr(10)) AS code FROM n WHERE numbered > 0 AND numbered * 2 >= filled
+""")
+def line_numbers_removed(spark: SparkSession, d: str) -> DataFrame:
+    """Records whose lines are numbered, without the numbers."""
+    rows = table(spark, d, "new_detect").select("ordinal", "code", text.without_line_numbers(F.col("code")).alias("plain"))
+    return rows.where(F.col("plain") != F.col("code")).select("ordinal", F.col("plain").alias("code"))
+
+
+_HEAD = r"^@@ -(\d+)(?:,\d+)? \+(\d+)"
+
+
+@query("changed_lines", f"""
+WITH l AS ({lines('new_detect', 'code', 'ordinal')}), h AS (SELECT *, TRY_CAST(regexp_extract(raw, '{_HEAD}', 1) AS INTEGER) AS o, TRY_CAST(regexp_extract(raw, '{_HEAD}', 2) AS INTEGER) AS n FROM l),
+g AS (SELECT ordinal, line, raw, last_value(CASE WHEN o IS NOT NULL THEN line END IGNORE NULLS) OVER w AS hunk, last_value(o IGNORE NULLS) OVER w AS o, last_value(n IGNORE NULLS) OVER w AS n FROM h WINDOW w AS (PARTITION BY ordinal ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+b AS (SELECT *, substr(raw, 1, 1) AS side, coalesce(sum(CASE WHEN substr(raw, 1, 1) = '+' THEN 0 ELSE 1 END) OVER v, 0) AS olds, coalesce(sum(CASE WHEN substr(raw, 1, 1) = '-' THEN 0 ELSE 1 END) OVER v, 0) AS news FROM g WHERE line > hunk AND NOT starts_with(raw, chr(92)) WINDOW v AS (PARTITION BY ordinal, hunk ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT ordinal, side, CAST(CASE side WHEN '-' THEN o + olds ELSE n + news END AS INTEGER) AS line FROM b WHERE side IN ('-', '+')
+""")
+def changed_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Lines that the diffs among the records remove and add."""
+    return scan.changed_lines(table(spark, d, "new_detect"), "code", "ordinal")
+
+
+@query("coerced_labels", f"""
+SELECT ordinal, CASE upper(trim({empty('label.severity')})) WHEN 'WARNING' THEN 'MEDIUM' WHEN 'ERROR' THEN 'HIGH' WHEN 'INFO' THEN 'INFO' WHEN 'LOW' THEN 'LOW' WHEN 'MEDIUM' THEN 'MEDIUM' WHEN 'HIGH' THEN 'HIGH' WHEN 'CRITICAL' THEN 'CRITICAL' ELSE 'MEDIUM' END AS severity,
+  CASE WHEN contains(lower({empty('label.verdict')}), 'confirm') THEN 'Confirm' WHEN contains(lower({empty('label.verdict')}), 'reject') THEN 'Reject' ELSE '?' END AS verdict,
+  CASE lower(trim(label.confidence)) WHEN 'low' THEN 0.3::DOUBLE WHEN 'medium' THEN 0.6 WHEN 'high' THEN 0.9 ELSE coalesce(greatest(0.0, least(1.0, TRY_CAST(label.confidence AS DOUBLE))), 0.5) END AS confidence
+FROM new_triage
+""")
+def coerced_labels(spark: SparkSession, d: str) -> DataFrame:
+    """Severity, verdict and confidence of triage labels in their normal forms."""
+    return table(spark, d, "new_triage").select("ordinal", text.severity(F.col("label.severity")).alias("severity"), text.verdict(F.col("label.verdict")).alias("verdict"), text.confidence(F.col("label.confidence")).alias("confidence"))
+
+
+@query("lookup_status", f"""
+WITH o AS (SELECT repo_url, max(coalesce(license, '') <> '') AS ok FROM new_triage WHERE repo_url IS NOT NULL GROUP BY repo_url)
+SELECT n.ordinal, CASE WHEN o.ok IS NULL THEN 'missing' WHEN o.ok THEN 'attached' ELSE 'invalid' END AS status FROM new_detect n LEFT JOIN o USING (repo_url)
+""")
+def lookup_status(spark: SparkSession, d: str) -> DataFrame:
+    """Whether triage knows each record's repository, with a licence or without."""
+    known = table(spark, d, "new_triage").where(F.col("repo_url").isNotNull()).groupBy("repo_url").agg(F.max(F.coalesce("license", F.lit("")) != "").alias("ok"))
+    return relational.lookup_status(table(spark, d, "new_detect").select("ordinal", "repo_url"), known, "repo_url", F.col("ok")).select("ordinal", "status")
+
+
+@query("positional_split", "SELECT ordinal, CASE WHEN p <= 8 THEN 'train' WHEN p <= 9 THEN 'val' WHEN p <= 11 THEN 'test' END AS split FROM (SELECT ordinal, row_number() OVER (PARTITION BY source, rule ORDER BY ordinal) AS p FROM new_triage)")
+def positional_split(spark: SparkSession, d: str) -> DataFrame:
+    """The first eight rows of each source and rule to train, one to val and two to test."""
+    rows = table(spark, d, "new_triage").select("ordinal", F.struct("source", "rule").alias("g"))
+    return relational.positional_split(rows, "g", "ordinal", {"train": 8, "val": 1, "test": 2}).select("ordinal", "split")
+
+
+@query("file_scores")
+def file_scores(spark: SparkSession, d: str) -> DataFrame:
+    """The score of each candidate's file as the implementation of its fix."""
+    from auditlake.operators.candidates import file_score
+
+    return table(spark, d, "candidates").select("ordinal", file_score(F.col("file_path"), F.col("code_vuln"), F.col("package")).alias("score"))

@@ -171,8 +171,10 @@ def cluster_survivors(spark: SparkSession, d: str) -> DataFrame:
     """The strongest candidate of each group: a code pair first, then the score."""
     filled = lambda c: ~F.coalesce(c, F.lit("")).rlike(r"^\s*$")
     pair = (filled("code_vuln") & filled("code_fixed")).cast("int")
-    rows = _rows(spark, d).withColumns({"strength": pair * 1000 + candidates.screening_score()})
-    kept = graph.keep_strongest(rows, "ordinal", _group_keys(), F.col("strength"))
+    # only digests and scores are shuffled, no code
+    keys = [k.alias(f"key_{i}") for i, k in enumerate(_group_keys())]
+    rows = _rows(spark, d).select("ordinal", (pair * 1000 + candidates.screening_score()).alias("strength"), *keys)
+    kept = graph.keep_strongest(rows, "ordinal", [F.col(f"key_{i}") for i in range(len(keys))], F.col("strength"))
     return kept.select("ordinal", "group", "strength")
 
 

@@ -255,3 +255,25 @@ def test_leaks(spark):
 def test_first_present(spark, value):
     df = spark.createDataFrame([("", value)], "a string, b string")
     assert _values(df, text.first_present(F.col("a"), F.col("b"))) == [value or ""]
+
+
+def test_changed_lines_and_line_numbers(spark):
+    patch = "--- a\n+++ b\n@@ -3,4 +3,5 @@ def f\n same\n-old\n+new\n+more\n same\n\\ No newline at end of file\n@@ -20 +21 @@\n-x\n+y"
+    df = spark.createDataFrame([(1, patch)], "k int, p string")
+    assert [(r["side"], r["line"]) for r in scan.changed_lines(df, "p", "k").orderBy("side", "line").collect()] == [("+", 4), ("+", 5), ("+", 21), ("-", 4), ("-", 20)]
+    texts = spark.createDataFrame([("1: a\n2: b\n\nc",), ("a\nb\n3: c",), (None,), ("",)], "t string")
+    assert _values(texts, text.without_line_numbers(F.col("t"))) == ["a\nb\n\nc", "a\nb\n3: c", None, ""]
+    checks = spark.createDataFrame([("rules.crypto-003-des.x",), ("a.b.weak",)], "c string")
+    assert _values(checks, text.rule_id(F.col("c"))) == ["CRYPTO-003", "weak"]
+
+
+def test_status_split_and_expansion(spark):
+    df = spark.createDataFrame([(1, "a"), (2, "b"), (3, None), (4, "c")], "o int, k string")
+    other = spark.createDataFrame([("a", True), ("b", False)], "k string, ok boolean")
+    assert {r["o"]: r["status"] for r in relational.lookup_status(df, other, "k", F.col("ok")).collect()} == {1: "attached", 2: "invalid", 3: "missing", 4: "missing"}
+    split = relational.positional_split(df.withColumn("g", F.lit(1)), "g", "o", {"train": 2, "val": 1})
+    assert _values(split.orderBy("o"), "split") == ["train", "train", "val", None]
+    names = spark.createDataFrame([("x",), ("y",), ("z",)], "name string")
+    assert relational.expanded(df.select("o", "k"), names, "k", "o", 2).count() == 8
+    scores = spark.createDataFrame([("src/kit/crypt.py", "+a\n-b", "kit"), ("tests/a.py", "", None)], "p string, d string, n string")
+    assert _values(scores, candidates.file_score(F.col("p"), F.col("d"), F.col("n"))) == [8 + 4 + 2 + 5 + 0 + 1, -10_000]
