@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from auditlake.plans.skew import small_side
+
 
 def _packed(df: DataFrame) -> Column:
     return F.struct(*(F.col(f"`{c}`") for c in df.columns))
@@ -186,6 +188,6 @@ def positional_split(df: DataFrame, group: str, ordinal: str, counts: dict[str,
 
 def expanded(templates: DataFrame, names: DataFrame, group: str, ordinal: str, most: int) -> DataFrame:
     """Every template with every name, the first ``most`` of each group. Both sides are small lists of literals."""
-    rows = templates.crossJoin(F.broadcast(names))
+    rows = templates.crossJoin(small_side(names, 10_000))
     place = F.row_number().over(Window.partitionBy(group).orderBy(ordinal, *names.columns))
     return rows.withColumn("_place", place).where(F.col("_place") <= most).drop("_place")
