@@ -140,7 +140,7 @@ def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
 
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     """Documents with the held-out items of which they contain a passage."""
-    return leakage.leaks(table(spark, folder, "documents"), "doc_id", "text", table(spark, folder, "benchmark_items"), "item_id", "text")
+    return leakage.leaks(table(spark, folder, "documents"), "doc_id", "text", table(spark, folder, "benchmark_items"), "item_id", "text", "lang")
 
 
 def p10_found(spark: SparkSession, folder: str) -> DataFrame:

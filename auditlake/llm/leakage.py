@@ -24,6 +24,7 @@ MOST_HELD_OUT = 64_000_000
 _WORD = re.compile(r"\w+")
 _LETTER = re.compile(r"[\W_]+")
 _HAN = re.compile(r"[㐀-鿿豈-﫿\U00020000-\U0003ffff]")
+_KANA = re.compile(r"[぀-ヿ]")
 
 
 class WuManber:
@@ -80,13 +81,20 @@ def joined(text: str) -> str:
     return _LETTER.sub("", text.lower())
 
 
-def patterns(items: list[tuple[int, str]], words: int = WORDS, letters: int = LETTERS) -> tuple[dict[str, list[int]], dict[str, list[int]]]:
+def is_chinese(text: str, lang: str | None) -> bool:
+    """Whether a held-out text counts as Chinese: by its language, or if that is unknown, by Han characters without kana."""
+    if lang and lang.strip():
+        return re.split(r"[-_]", lang.strip().lower())[0] in ("zh", "zho", "chi", "cmn", "chinese", "中文")
+    return _HAN.search(text) is not None and not _KANA.search(text)
+
+
+def patterns(items: list[tuple[int, str, bool]], words: int = WORDS, letters: int = LETTERS) -> tuple[dict[str, list[int]], dict[str, list[int]]]:
     """The windows of held-out texts with their owners: those of words, and those of letters for Chinese texts."""
     by_word: dict[str, list[int]] = {}
     by_letter: dict[str, list[int]] = {}
-    for owner, text in items:
-        plain = joined(text)
-        if 2 * len(_HAN.findall(plain)) >= len(plain) > 0:
+    for owner, text, chinese in items:
+        if chinese:
+            plain = joined(text)
             windows, to = (plain[i : i + letters] for i in range(len(plain) - letters + 1)), by_letter
         else:
             own = _WORD.findall(text.lower())
@@ -99,20 +107,21 @@ def patterns(items: list[tuple[int, str]], words: int = WORDS, letters: int = LE
 _SEARCHES: dict[int, tuple[WuManber, WuManber]] = {}
 
 
-def _search(items: list[tuple[int, str]]) -> tuple[WuManber, WuManber]:
+def _search(items: list[tuple[int, str, bool]]) -> tuple[WuManber, WuManber]:
     key = hash(tuple(items))
     if key not in _SEARCHES:
         by_word, by_letter = patterns(items)
         _SEARCHES.clear()
-        _SEARCHES[key] = WuManber(by_word, 5), WuManber(by_letter, 2)
+        _SEARCHES[key] = WuManber(by_word, 5), WuManber(by_letter, 5)
     return _SEARCHES[key]
 
 
-def leaks(docs: DataFrame, doc_col: str, text_col: str, items: DataFrame, item_col: str, item_text_col: str) -> DataFrame:
+def leaks(docs: DataFrame, doc_col: str, text_col: str, items: DataFrame, item_col: str, item_text_col: str, item_lang_col: str | None = None) -> DataFrame:
     """(``doc_col``, ``item_col``): each document with each held-out text that shares a passage with it, once.
 
     A passage is WORDS consecutive words (runs of letters, digits and underscores), or LETTERS consecutive letters
-    and digits of a text that is mostly Chinese; letter case and all other characters are ignored. Null and empty
+    and digits of a Chinese text; letter case and all other characters are ignored. A held-out text is Chinese if
+    ``item_lang_col`` says so or, where that is null or not given, if it has Han characters and no kana. Null and empty
     documents, and held-out texts that are null or shorter than a passage, share none. Repeated rows give repeated
     pairs of the same kind, which are returned once per document row. Empty tables give no rows.
 
@@ -120,14 +129,15 @@ def leaks(docs: DataFrame, doc_col: str, text_col: str, items: DataFrame, item_c
     is broadcast; a larger one is searched in blocks of MOST_HELD_OUT characters.
     """
     spark = docs.sparkSession
-    held = items.select(F.col(item_col).alias("i"), F.col(item_text_col).alias("t")).where(F.col("i").isNotNull() & F.col("t").isNotNull())
+    lang = F.col(item_lang_col) if item_lang_col else F.lit(None).cast("string")
+    held = items.select(F.col(item_col).alias("i"), F.col(item_text_col).alias("t"), lang.alias("l")).where(F.col("i").isNotNull() & F.col("t").isNotNull())
     total = held.agg(F.coalesce(F.sum(F.length("t")), F.lit(0))).first()[0]
     blocks = total // MOST_HELD_OUT + 1
     doc_type, item_type = docs.schema[doc_col].dataType.simpleString(), items.schema[item_col].dataType.simpleString()
     result = None
     for block in range(blocks):
         part = held if blocks == 1 else held.where(F.pmod(F.xxhash64("i"), F.lit(blocks)) == block)
-        rows = spark.sparkContext.broadcast(sorted({(r["i"], r["t"]) for r in part.toLocalIterator()}))
+        rows = spark.sparkContext.broadcast(sorted({(r["i"], r["t"], is_chinese(r["t"], r["l"])) for r in part.toLocalIterator()}))
 
         def find(batches: Iterator[pa.RecordBatch], rows=rows) -> Iterator[pa.RecordBatch]:
             by_word, by_letter = _search(rows.value)
@@ -135,7 +145,7 @@ def leaks(docs: DataFrame, doc_col: str, text_col: str, items: DataFrame, item_c
                 ids, owners = [], []
                 for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                     found = by_word.owners(spaced(text)) if by_word.least else set()
-                    if by_letter.least and _HAN.search(text):
+                    if by_letter.least:
                         found |= by_letter.owners(joined(text))
                     ids += [i] * len(found)
                     owners += sorted(found)

@@ -146,6 +146,26 @@ def test_leaks(spark):
     assert leakage.leaks(d, "doc_id", "text", i.limit(0), "item_id", "text").count() == 0
 
 
+def test_leaks_of_chinese_items_by_their_language(spark):
+    """Latin identifiers don't make a Chinese item one of words, and a passage of them needs no Han character."""
+    mixed = "由于Lenkonti缺少加密信封，yanlencru-auth.Verifier_Rotation_Handler把密钥环与Louxlo合并，Yanlencru因此得到校验标签。"
+    german = "Das Zeichen 密 steht hier nur als Zitat in der Datei"
+    items = [(1, mixed, "zh"), (2, german, "de"), (3, mixed[::-1], None), (4, mixed, "zh-CN")]
+    docs = [(10, "前文。缺少加密信封 yanlencru auth verifier，别的"), (11, "see yanlencru-auth.verifier rotation"), (12, german[:24] + "x"), (13, "yanlencru-auth verif"), (14, mixed[::-1][5:30]), (15, "vorab: " + german + " k a b")]
+
+    def holds(text: str, item: str, chinese: bool) -> bool:
+        if chinese:
+            own, plain = (re.sub(r"[\W_]", "", x.lower()) for x in (item, text))
+            return any(own[i : i + 20] in plain for i in range(len(own) - 19))
+        own, plain = (re.findall(r"\w+", x.lower()) for x in (item, text))
+        return any(own[i : i + 12] == plain[j : j + 12] for i in range(len(own) - 11) for j in range(len(plain) - 11))
+
+    want = sorted((d, i) for d, text in docs for i, item, lang in items if holds(text, item, lang != "de"))
+    assert {d for d, _ in want} == {10, 11, 14}
+    d, i = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string, lang string")
+    assert sorted(map(tuple, leakage.leaks(d, "doc_id", "text", i, "item_id", "text", "lang").collect())) == want
+
+
 def _cut(text: str) -> list[str]:
     return [text[a:b] for a, b in sentences.Splitter(sentences.train([])).split(text)]
 
