@@ -95,6 +95,21 @@ def test_defects(spark):
     assert broken_pairs.defects(df.limit(0), "conv_id", "messages").count() == 0
 
 
+def test_refusals_by_recurrence(spark):
+    """A template without any known phrase is a refusal if it recurs among the formulas of refusals; others that recur aren't."""
+    names = ["torbrilo", "melkend", "vaquist", "hilkenor", "dorzanfel", "rohilmar"]
+    rows = []
+    for i, name in enumerate(names):
+        q = f"How should I store the salt of {name}?"
+        rows += [(i, q, "Thank you for asking, however I am not able to answer that."), (20 + i, q + " And the nonce?", f"The {name} salt belongs beside the hash, so renew it before the next release.")]
+        rows += [(30 + i, f"Is {name} safe?", "confirm"), (40 + i, f"May {name} be used?", f"I must pass on this one about {name}-kit.")]
+    rows += [(10 + i, f"Where is the key of {name}?", "Thank you for asking, I must pass on this one.") for i, name in enumerate(names[:4])]
+    rows.append((50, "How is the salt of torbrilo kept?", "Thank you for asking, the salt of torbrilo is kept beside the hash."))
+    df = spark.createDataFrame([(i, [("user", q), ("assistant", a)]) for i, q, a in rows], "conv_id long, messages array<struct<role:string,content:string>>")
+    got = {r[0]: r[2] for r in broken_pairs.defects(df, "conv_id", "messages").collect()}
+    assert got == {i: "refusal" for i, _, a in rows if "not able" in a or "must pass" in a}
+
+
 @pytest.fixture(scope="module")
 def encoder():
     with open(f"{TOKENIZERS}/byte_bpe_50k.json", encoding="utf-8") as file:
