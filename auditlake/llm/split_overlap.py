@@ -1,13 +1,14 @@
 """Problem 2: records of evaluation splits that occur, exactly or almost, in the training split.
 
-Method: content-defined chunks. Normalised records are cut where a rolling hash of the words says so, chunk digests
-are joined across the splits, and shared chunk lengths add up to overlap fractions. Pairs that overlap enough are
-then compared word by word.
+Method: prefix filter. The words of each record are put in one order for all records, rarest first; two records that
+agree in enough words must share some of the rarest ones, and how many follows from their lengths. Pairs that share
+enough of these are then compared word by word. No pair that is similar enough is lost.
 """
 
 from __future__ import annotations
 
 import json
+import math
 import re
 import zlib
 from collections.abc import Iterator
@@ -15,24 +16,20 @@ from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from auditlake.plans.skew import small_side
 from auditlake.plans.store import Store
 
-#: A cut follows a word with chance 1 / CUT, so chunks have about CUT words.
-CUT = 6
-#: Chunks of more records than this are left out where they make up less than half of a record.
-HOT_RECORDS = 100
-#: Least fraction of the larger record in shared chunks for a pair to be compared word by word.
-LEAST_OVERLAP = 0.05
+#: Words of at least FREQUENT of about SAMPLE records are ordered by that number, and at most MOST_FREQUENT of them; all
+#: others come before them. Any order gives the same result, only the number of comparisons differs.
+FREQUENT, SAMPLE, MOST_FREQUENT = 4, 20_000, 200_000
 #: Least fraction of common words for two records to be the same.
 SIMILARITY = 0.8
 
 _WORD = re.compile(r"\w+")
 _ODD = np.uint64(0x9E3779B97F4A7C15)
-_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 
 def _in_order(value: object) -> str:
@@ -72,43 +69,11 @@ def _word_hashes(texts: list[str], known: dict[str, int]) -> tuple[np.ndarray, n
     return np.array(flat, np.uint64), np.array(sizes, np.int64), digests
 
 
-def _chunk(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    known: dict[str, int] = {}
-    for part in parts:
-        hashes, sizes, digests = _word_hashes(part["text"].tolist(), known)
-        part = part.drop(columns="text").assign(record=digests, n=sizes)
-        part = part[part["n"] > 0].reset_index(drop=True)
-        if not len(part):
-            continue
-        sizes = sizes[sizes > 0]
-        ends = np.cumsum(sizes)
-        with np.errstate(over="ignore"):
-            mixed = hashes * _ODD
-            rolling = (mixed + np.concatenate((mixed[:1], mixed[:-1])) * np.uint64(31)) * _ODD
-            cut = (rolling >> np.uint64(40)) % np.uint64(CUT) == 0
-            cut[ends - 1] = True
-            stops = np.flatnonzero(cut) + 1
-            starts = np.concatenate(([0], stops[:-1]))
-            # sum of hash * odd^position, shifted back to the chunk's start by the inverse
-            powers = np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(len(hashes), _ODD))))
-            sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mixed * powers[:-1])))
-            back = np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(len(hashes), _INVERSE))))
-            digest = ((sums[stops] - sums[starts]) * back[starts] * _ODD) ^ (stops - starts).astype(np.uint64)
-        record = np.searchsorted(ends, starts, side="right")
-        order = np.lexsort((digest, record))
-        digest, record, length = digest[order], record[order], (stops - starts)[order]
-        first = np.ones(len(digest), bool)
-        first[1:] = (digest[1:] != digest[:-1]) | (record[1:] != record[:-1])
-        digest, record, length = digest[first].view(np.int64), record[first], length[first]
-        bounds = np.searchsorted(record, np.arange(1, len(part)))
-        yield part.assign(chunks=np.split(digest, bounds), lengths=np.split(length.astype(np.int32), bounds))
-
-
 def _bags(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """The multiset of a record's words as distinct numbers: the n-th occurrence of a word has a number of its own."""
     known: dict[str, int] = {}
     for part in parts:
-        hashes, sizes, _ = _word_hashes(part["text"].tolist(), known)
+        hashes, sizes, digests = _word_hashes(part["text"].tolist(), known)
         bags = []
         for own in np.split(hashes, np.cumsum(sizes)[:-1]):
             own = np.sort(own)
@@ -116,24 +81,54 @@ def _bags(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             nth = np.arange(len(own)) - np.repeat(starts, np.diff(np.concatenate((starts, [len(own)]))))
             with np.errstate(over="ignore"):
                 bags.append(((own + nth.astype(np.uint64) * _ODD) * _ODD).view(np.int64))
-        yield pd.DataFrame({"id": part["id"], "bag": bags})
+        part = part.drop(columns="text").assign(record=digests, n=sizes, bag=bags)
+        yield part[part["n"] > 0]
 
 
-def _pairs_of_records(records: DataFrame, store: Store) -> DataFrame:
-    """(x, y): different distinct records, x in training and y in evaluation, that are the same by their words."""
-    entries = records.select("rep", "n", "in_train", "in_eval", F.explode(F.arrays_zip("chunks", "lengths")).alias("c")).select(
-        "rep", "n", "in_train", "in_eval", F.col("c.chunks").alias("chunk"), F.col("c.lengths").alias("length")
+def prefix_length(n: int) -> int:
+    """The words of a record of ``n`` among which is one of every record that is similar enough, in any common order."""
+    # the shortest such record has n * s / (2 - s) words, all of them in common
+    return n - math.ceil(n * SIMILARITY / (2 - SIMILARITY) - 1e-6) + 1
+
+
+def _pairs_of_records(records: DataFrame, bags: DataFrame, store: Store) -> DataFrame:
+    """(x, y, nx, ny): different distinct records, x in training and y in evaluation, that may be similar enough.
+
+    Of two records of which ``least`` words must be in common, the first k common ones in the order are among the first
+    n - least + k of each, and none has too many words before it in one record and too few behind it in the other.
+    """
+    spark = records.sparkSession
+    parts = bags.select(F.lit(1)).count() // SAMPLE + 1
+    sample = bags.where(F.pmod(F.xxhash64("rep"), F.lit(parts)) == 0)
+    counts = sample.select(F.explode("bag").alias("word")).groupBy("word").agg(F.count("*").alias("records")).where(F.col("records") >= FREQUENT)
+    most = counts.orderBy(F.desc("records"), "word").limit(MOST_FREQUENT).toPandas().sort_values("word")
+    order = spark.sparkContext.broadcast((most["word"].to_numpy(np.int64), most["records"].to_numpy(np.int64)))
+
+    def prefixes(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        frequent, often = order.value
+        for part in parts:
+            firsts = []
+            for own in part["bag"]:
+                own = np.asarray(own, np.int64)
+                rank = np.zeros(len(own), np.int64)
+                if len(frequent):
+                    at = np.minimum(np.searchsorted(frequent, own), len(frequent) - 1)
+                    rank = np.where(frequent[at] == own, often[at], 0)
+                firsts.append(own[np.lexsort((own, rank))[: prefix_length(len(own))]])
+            yield part[["rep"]].assign(n=part["bag"].map(len), first=firsts)
+
+    first = store.write(bags.mapInPandas(prefixes, "rep long, n int, first array<bigint>"), "prefixes").join(records.select("rep", "in_train", "in_eval"), "rep")
+    train = first.where("in_train").select(F.col("rep").alias("x"), F.col("n").alias("nx"), F.posexplode("first").alias("px", "word"))
+    held = first.where("in_eval").select(F.col("rep").alias("y"), F.col("n").alias("ny"), F.posexplode("first").alias("py", "word"))
+    nx, ny, px, py = (F.col(c) for c in ("nx", "ny", "px", "py"))
+    least = F.ceil((nx + ny) * (SIMILARITY / 2) - 1e-6)
+    # k grows with what the prefixes have to spare, so that more common words are asked for where more can be seen
+    spare = least - F.ceil(F.greatest(nx, ny) * (SIMILARITY / (2 - SIMILARITY)) - 1e-6)
+    shared = train.join(held, "word").where((F.col("x") != F.col("y")) & (F.least(nx, ny) >= least)).withColumn("k", 1 + F.floor(spare / 4)).where(
+        (px < nx - least + F.col("k")) & (py < ny - least + F.col("k")) & (F.least(px, py) + F.least(nx - px, ny - py) >= least)
     )
-    hot = store.write(entries.groupBy("chunk").agg(F.count("*").alias("records")).where(F.col("records") > HOT_RECORDS), "hot")
-    mark = small_side(hot)
-    most = Window.partitionBy("rep").orderBy(F.desc("records"), "chunk").rowsBetween(Window.unboundedPreceding, 0)
-    # the hottest chunks of a record go, as long as they are less than half of it
-    kept_hot = entries.join(mark, "chunk").withColumn("upto", F.sum("length").over(most)).where(F.col("upto") * 2 >= F.col("n")).drop("records", "upto")
-    kept = entries.join(mark, "chunk", "left_anti").unionByName(kept_hot)
-    train = kept.where("in_train").select("chunk", F.col("rep").alias("x"), F.col("n").alias("nx"))
-    held = kept.where("in_eval").select("chunk", F.col("rep").alias("y"), F.col("n").alias("ny"), "length")
-    shared = train.join(held, "chunk").where(F.col("x") != F.col("y")).groupBy("x", "y", "nx", "ny").agg(F.sum("length").alias("shared"))
-    return store.write(shared.where(F.col("shared") >= F.greatest("nx", "ny") * LEAST_OVERLAP).select("x", "y", "nx", "ny"), "candidates")
+    shared = shared.groupBy("x", "y", "nx", "ny", "k").agg(F.count("*").alias("shared"))
+    return store.write(shared.where(F.col("shared") >= F.col("k")).select("x", "y", "nx", "ny"), "candidates")
 
 
 def overlaps(df: DataFrame, id_col: str, text_col: str, in_train: Column, in_eval: Column) -> DataFrame:
@@ -144,24 +139,19 @@ def overlaps(df: DataFrame, id_col: str, text_col: str, in_train: Column, in_eva
     neither training nor evaluation (null counts as neither), and rows with null, blank or wordless text, have no
     pairs. Rows may be in both sides, but never pair with themselves. Copies are compared once and expanded at the
     end; an empty table gives no rows.
-
-    Chunks of more than HOT_RECORDS distinct records find no pairs where they are less than half of a record, so
-    that shared boilerplate does not pair everything; a record that is mostly boilerplate keeps the rarer half.
     """
     store = Store(df.sparkSession, "overlap")
     texts = df.select(F.col(id_col).alias("id"), F.coalesce(in_train, F.lit(False)).alias("in_train"), F.coalesce(in_eval, F.lit(False)).alias("in_eval"), F.col(text_col).alias("text")).where(
         (F.col("in_train") | F.col("in_eval")) & F.col("text").rlike(r"\w|[^\x00-\x7f]")
     )
-    rows = store.write(texts.mapInPandas(_chunk, "id long, in_train boolean, in_eval boolean, record binary, n int, chunks array<bigint>, lengths array<int>"), "rows")
-    records = rows.groupBy("record").agg(
-        F.min("id").alias("rep"), F.max("in_train").alias("in_train"), F.max("in_eval").alias("in_eval"), F.first("n").alias("n"), F.first("chunks").alias("chunks"), F.first("lengths").alias("lengths")
-    )
-    records = store.write(records, "records")
-    candidates = _pairs_of_records(records, store)
-    ids = candidates.select(F.explode(F.array("x", "y")).alias("id")).distinct()
-    bags = store.write(texts.select("id", "text").join(small_side(ids), "id", "left_semi").mapInPandas(_bags, "id long, bag array<bigint>"), "bags").dropDuplicates(["id"])
-    x, y = (bags.select(F.col("id").alias(c), F.col("bag").alias(f"bag_{c}")) for c in "xy")
-    same = candidates.join(x, "x").join(y, "y").where(F.size(F.array_intersect("bag_x", "bag_y")) * 2 >= (F.col("nx") + F.col("ny")) * SIMILARITY).select("x", "y")
+    rows = store.write(texts.mapInPandas(_bags, "id long, in_train boolean, in_eval boolean, record binary, n int, bag array<bigint>"), "rows")
+    records = store.write(rows.groupBy("record").agg(F.min("id").alias("rep"), F.max("in_train").alias("in_train"), F.max("in_eval").alias("in_eval")), "records")
+    chosen = records.select("record", F.col("rep").alias("id"))
+    # rows that are delivered twice under one identifier have their bag twice here, which adds candidates but no results
+    bags = rows.select("id", "record", "bag").join(small_side(chosen), ["record", "id"], "left_semi").select(F.col("id").alias("rep"), "bag")
+    candidates = _pairs_of_records(records, bags, store)
+    x, y = (bags.select(F.col("rep").alias(c), F.col("bag").alias(f"bag_{c}")) for c in "xy")
+    same = candidates.join(x, "x").join(y, "y").where(F.size(F.array_intersect("bag_x", "bag_y")) * 2 >= (F.col("nx") + F.col("ny")) * SIMILARITY).select("x", "y").distinct()
     alike = records.where(F.col("in_train") & F.col("in_eval")).select(F.col("rep").alias("x"), F.col("rep").alias("y"))
     members = rows.select("id", "in_train", "in_eval", "record").join(records.select("record", "rep"), "record")
     members = store.write(members.select("id", "in_train", "in_eval", "rep"), "members")

@@ -124,6 +124,24 @@ def test_overlap_of_shared_boilerplate(spark):
     assert {tuple(x) for x in split_overlap.overlaps(df, "id", "text", F.col("t"), F.col("e")).collect()} == {(1000, 1001)}
 
 
+def test_overlap_against_brute_force(spark):
+    """Edits all over a record, records of repeated words that many share, and small vocabularies lose no pair."""
+    r = random.Random(8)
+    rows: list[tuple[int, str, bool, bool]] = []
+    for i in range(60):
+        words = _program(r, r.choice([5, 30, 100]))
+        edited = [w if r.random() > r.choice([0.1, 0.17, 0.19]) else f"new{r.randrange(50)}" for w in words]
+        rows += [(2 * i, " ".join(words), True, False), (2 * i + 1, " ".join(edited), False, True)]
+    for i in range(130):
+        words = ["begin", "step", "end"] * 12 + [f"only{i}"] * (i % 7)
+        rows.append((1000 + i, " ".join(words), i % 10 > 0, i % 10 == 0))
+    bags = {i: Counter(text.split()) for i, text, _, _ in rows}
+    want = {(a, b) for a, _, t, _ in rows if t for b, _, _, e in rows if e and a != b and 10 * sum((bags[a] & bags[b]).values()) >= 4 * (bags[a] + bags[b]).total()}
+    assert len(want) > 500
+    df = spark.createDataFrame(rows, "id long, text string, t boolean, e boolean")
+    assert {tuple(x) for x in split_overlap.overlaps(df, "id", "text", F.col("t"), F.col("e")).collect()} == want
+
+
 def test_collapse_against_brute_force(spark):
     texts = ["a b", "A.B", "ab", None, "", "--", "x" * 200_000, "X" * 200_000, '{"a": 1, "b": [2, {"c": 3, "d": 4}]}', '{"B": [2, {"d": 4, "c": 3}], "A": 1}', "{'a': 1, 'b': [2, {'c': 3, 'd': 4}],}", '{"b": [{"c": 3, "d": 4}, 2], "a": 1}', "{broken", "BROKEN", "[1, 2]", "[2, 1]", "ÉTÉ", "été", "ab"]
     df = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)], "id long, code string, copies int")
