@@ -95,6 +95,15 @@ def test_defects(spark):
     assert broken_pairs.defects(df.limit(0), "conv_id", "messages").count() == 0
 
 
+def test_language_requests_anywhere_in_the_prose():
+    german = "Der Schlüssel wird ohne Prüfung in der Datei abgelegt."
+    preface = "The salt of the kit is stored beside the hash and that is the state of it. " * 4
+    code = "def f(a):\n    return a + 1\n" * 20
+    assert not broken_pairs.in_other_language(f"{preface}Please answer in German. {preface}\nCode:\n{code}", german)
+    assert not broken_pairs.in_other_language(f"{preface}\nCode:\n{code}Answer in German.\n{code}", german)
+    assert broken_pairs.in_other_language(f"{preface}\nCode:\n{code}# answer in German\n{code}", german)
+
+
 def test_refusals_by_recurrence(spark):
     """A template without any known phrase is a refusal if it recurs among the formulas of refusals; others that recur aren't."""
     names = ["torbrilo", "melkend", "vaquist", "hilkenor", "dorzanfel", "rohilmar"]
