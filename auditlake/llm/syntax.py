@@ -155,16 +155,15 @@ def _json(text: str) -> bool:
 def parses(text: str, language: str, summary: Summary | None = None) -> bool:
     """Whether a text is in its language's grammar; a leading byte order mark is ignored.
 
-    A text whose chunks balance is parsed by statements. One that doesn't is broken, unless the parser, which also
-    knows nested strings and regular expressions, reads it all the same.
+    The parser decides, since it also knows nested strings and regular expressions. Only a Java or Go text whose
+    summary is given and ends inside a comment or string is broken without it.
     """
     text = text.removeprefix("﻿")
     if language == "json":
         return _json(text)
-    if summary is None:
-        summary = reduce(combine, (summarise(c, language) for c in chunks(text)))
-    if summary[""][0] in _STATES[language]:
-        # no statement ends inside a comment or string
+    open_end = summary is not None and summary[""][0] in _STATES[language]
+    if open_end and language in ("java", "go"):
+        # no statement ends inside a comment or string; JavaScript's lexer map doesn't know regular expressions
         return False
     with warnings.catch_warnings():
         warnings.simplefilter("ignore")

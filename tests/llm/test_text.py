@@ -48,6 +48,15 @@ def test_python_and_json():
     assert not any(syntax.parses(t, "json") for t in ("{'a': 1}", '{"a": 1,}', '{"a": NaN}', "// x\n{}", '{"a": 1} x', '{"a": "b\n"}'))
 
 
+def test_regular_expressions_that_look_like_strings_or_comments():
+    good = ["const a = x.replace(/`/g, '');\n", "const r = /\\/*/.test(s);\nf();\n", "const r = /[/*]/.test(s);\n"]
+    for text in good:
+        summary = syntax.summarise(text, "javascript")
+        assert summary[""][0] in ("`", "/*") and syntax.parses(text, "javascript") and syntax.parses(text, "javascript", summary)
+    for language, text in [("javascript", "/* open\n f()"), ("javascript", "f(`abc"), ("java", "class A { } /* open"), ("go", "package a\nvar x = `abc\n"), ("python", 'x = """abc')]:
+        assert not syntax.parses(text, language) and not syntax.parses(text, language, syntax.summarise(text, language))
+
+
 def test_summaries_combine_like_the_whole():
     texts = {"python": 'a = """x\n(\n"""\nb = [\n(1, # )\n2),\n]\n', "javascript": "/* (\n{ */ f(`a\n(`,\n[1,\n2]);\n", "java": 'class A { /*\n} */ String s = """\n{ "\n"""; }\n', "go": "package a\nvar x = `(\n[`\nfunc f() {\n}\n", "json": '{"a":\n[1,\n{"b": "]"}]}\n'}
     for language, text in texts.items():
