@@ -113,6 +113,12 @@ def test_language_requests_anywhere_in_the_prose():
     assert broken_pairs.in_other_language(f"{preface}\nCode:\n{code}# answer in German\n{code}", german)
 
 
+def test_clauses_after_versions_and_polite_sentences():
+    for text in ("Thank you for asking about torbrilo 2.15.3. I can't help with that.", "Hello there. Thank you for asking. It is a good day. I can't help with that."):
+        assert "i can't help with that" in broken_pairs.opening(text)
+    assert "我无法回答" in broken_pairs.opening("请看2.15.3版。我无法回答。")
+
+
 def test_refusals_by_recurrence(spark):
     """A template without any known phrase is a refusal if it recurs among the formulas of refusals; others that recur aren't."""
     names = ["torbrilo", "melkend", "vaquist", "hilkenor", "dorzanfel", "rohilmar"]
