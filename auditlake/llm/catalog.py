@@ -80,8 +80,7 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return groups.where(F.col("id").isNotNull()).select(F.col("id").alias("candidate_id"), "group_id")
 
 
-def p5_found(spark: SparkSession, folder: str) -> DataFrame:
-    """For each group with several rows, the rows whose advisory id, commit and fixed code survive."""
+def _survivors(spark: SparkSession, folder: str, by_record: bool) -> DataFrame:
     candidates = table(spark, folder, "candidates")
     groups = consolidate.consolidate(candidates.select("candidate_id", "advisory_id", "fix_commit"), "candidate_id", _links())
     length = F.length(F.regexp_replace("code_fixed", r"(?U)^\s+|\s+$", ""))
@@ -94,16 +93,21 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
         survivor.parse_time(F.col("collected_at")).alias("at"),
         "verified",
     )
+    fields = [survivor.Field("advisory_row", F.col("advisory")), survivor.Field("fix_commit_row", F.col("commit")), survivor.Field("code_fixed_row", F.col("code"))]
+    filled = F.size(F.array_compact(F.array("advisory", "commit", "code"))) if by_record else None
     # a hot identifier meets one group row; the adaptive skew join splits its side
-    best = survivor.survivors(
-        rows.join(groups, "v"),
-        "group_id",
-        "ordinal",
-        [survivor.Field("advisory_row", F.col("advisory")), survivor.Field("fix_commit_row", F.col("commit")), survivor.Field("code_fixed_row", F.col("code"))],
-        F.col("at"),
-        F.col("verified"),
-    )
-    return best.where(F.col("records") >= 2).select("group_id", *(F.coalesce(c, F.lit(-1).cast("long")).alias(c) for c in ("advisory_row", "fix_commit_row", "code_fixed_row")))
+    best = survivor.survivors(rows.join(groups, "v"), "group_id", "ordinal", fields, F.col("at"), F.col("verified"), filled)
+    return best.where(F.col("records") >= 2).select("group_id", *(F.coalesce(f.name, F.lit(-1).cast("long")).alias(f.name) for f in fields), "layers")
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    """For each group with several rows, the rows whose advisory id, commit and fixed code survive."""
+    return _survivors(spark, folder, False).drop("layers")
+
+
+def p5_by_record(spark: SparkSession, folder: str) -> DataFrame:
+    """The same where records compete as wholes, by the number of fields they fill, and later layers fill what is missing."""
+    return _survivors(spark, folder, True)
 
 
 def _verdicts(spark: SparkSession, folder: str) -> DataFrame:

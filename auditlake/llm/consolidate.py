@@ -12,10 +12,11 @@ from pyspark.sql import functions as F
 
 from auditlake.plans.store import Store
 
-#: Rate of the exponential shifts: the chance that the waves of a level cut an edge is about 1 - exp(-RATE).
-RATE = 0.05
-#: Rounds that the waves of a level grow. A vertex that its wave would reach later is left to the next level.
-ROUNDS = 3
+#: Rate of the exponential shifts: the waves of a level cut an edge with a chance of about 1 - exp(-RATE), and end after
+#: about ln(vertices) / RATE rounds at most, or after the diameter of the largest group.
+RATE = 0.2
+#: Rounds of a wave that are planned at once; after each such batch its state is written and checked for changes.
+BATCH = 8
 
 
 def advisory_key(field: Column) -> Column:
@@ -46,26 +47,33 @@ def _shift(vertex: Column, level: int) -> Column:
     return -F.log(uniform) / F.lit(RATE)
 
 
-def _clusters(edges: DataFrame, level: int) -> DataFrame:
+def _clusters(edges: DataFrame, level: int, store: Store) -> DataFrame:
     """(v, owner): each vertex of ``edges`` (both directions) with the cluster whose wave reaches it first.
 
-    A wave from ``u`` starts at -shift(u) and moves one edge a round; arrival is the least of start plus distance
-    over all ``u`` within ROUNDS edges, ties to the smaller vertex. An owner is always linked to what it owns, so
-    contraction is right after any number of rounds; more of them only leave fewer levels.
+    A wave from ``u`` starts at -shift(u) and moves one edge a round; arrival is the least of start plus distance over
+    all ``u``. Only vertices that were reached anew send the wave on, and the waves run until none is, so that every
+    vertex is in the cluster that reaches it first. The columns are numbers of fixed width, so that all aggregates
+    hash, and a vertex keeps its state over an edge of no length to itself, so that a round is one join and one shuffle.
     """
-    own = F.struct((-_shift(F.col("v"), level)).alias("at"), F.col("v").alias("owner"))
-    sent = F.struct((F.lit(1.0) - _shift(F.col("u"), level)).alias("at"), F.col("u").alias("owner"))
-    state = edges.groupBy("v").agg(F.min(sent).alias("m")).select("v", F.least("m", own).alias("m"))
-    for _ in range(ROUNDS - 1):
-        reached = edges.join(state.select(F.col("v").alias("u"), "m"), "u").select(
-            "v", F.struct((F.col("m.at") + 1).alias("at"), F.col("m.owner").alias("owner")).alias("m")
-        )
-        state = reached.unionByName(state).groupBy("v").agg(F.min("m").alias("m"))
-    return state.select("v", F.col("m.owner").alias("owner"))
-
-
-def _components(links: DataFrame, store: Store) -> DataFrame:
-    """(v, root) for every vertex of the undirected ``links`` (u, v), a written table each level."""
+    state = edges.select("v").distinct().select("v", (-_shift(F.col("v"), level)).alias("at"), F.col("v").alias("owner"), F.lit(True).alias("changed"))
+    steps = edges.select("u", "v", F.lit(1).alias("far")).unionByName(edges.select(F.col("v").alias("u"), "v", F.lit(0).alias("far")).distinct())
+    batch = 0
+    while True:
+        for _ in range(BATCH):
+            sent = steps.join(state.withColumnRenamed("v", "u"), "u").where(F.col("changed") | (F.col("far") == 0))
+            sent = sent.select("v", (F.col("at") + F.col("far")).alias("at"), "owner", F.when(F.col("far") == 0, F.col("at")).alias("old"))
+            state = sent.groupBy("v").agg(F.min("at").alias("at"), F.min_by("owner", "at").alias("owner"), F.min("old").alias("old"))
+            state = state.select("v", "at", "owner", (F.col("at") < F.col("old")).alias("changed"))
+        state = store.write(state, f"wave-{level}-{batch}")
+        if batch:
+            store.drop(f"wave-{level}-{batch - 1}")
+        batch += 1
+        if state.where("changed").isEmpty():
+            return state.select("v", "owner")
+
+
+def components(links: DataFrame, store: Store) -> DataFrame:
+    """(v, root) for every vertex of the undirected ``links`` (u, v), both numbers; tables are written each level."""
 
     def both(e: DataFrame) -> DataFrame:
         pairs = e.where(F.col("u") != F.col("v")).select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e"))
@@ -74,7 +82,7 @@ def _components(links: DataFrame, store: Store) -> DataFrame:
     edges, levels = store.write(both(links), "edges-0"), []
     while not edges.isEmpty():
         level = len(levels)
-        owners = store.write(_clusters(edges, level), f"clusters-{level}")
+        owners = _clusters(edges, level, store)
         levels.append(owners)
         tail = owners.select(F.col("v").alias("u"), F.col("owner").alias("a"))
         head = owners.select("v", F.col("owner").alias("b"))
@@ -83,6 +91,7 @@ def _components(links: DataFrame, store: Store) -> DataFrame:
         store.drop(f"edges-{level}")
     if not levels:
         return edges.select("v", F.col("u").alias("root"))
+    # from the last level, which is the smallest, to the first
     roots = levels[-1].withColumnRenamed("owner", "root")
     for owners in reversed(levels[:-1]):
         upper = roots.select(F.col("v").alias("owner"), "root")
@@ -102,10 +111,17 @@ def consolidate(df: DataFrame, id_col: str, keys: dict[str, Column]) -> DataFram
     rows = df.select(F.col(id_col).cast("string").alias("id"), vertices(F.col(id_col), keys).alias("vs")).where(F.size("vs") > 0)
     # rows with the same identifier and keys say the same; the distinct is combined before its shuffle
     rows = store.write(rows.distinct(), "rows")
-    links = rows.where(F.size("vs") > 1).select(F.col("vs")[0].alias("u"), F.explode(F.slice("vs", 2, len(keys))).alias("v"))
-    roots = _components(links, store)
-    first = rows.select(F.col("vs")[0].alias("v"), "id").distinct()
-    members = store.write(first.join(roots, "v", "left").select("v", "id", F.coalesce("root", "v").alias("root")), "members")
-    least = members.groupBy("root").agg(F.min("id").alias("group_id"))
+    # vertices get numbers, which no two share as hashes might; only those of rows with a key can be linked
+    linked = rows.where(F.size("vs") > 1)
+    numbers = store.write(linked.select(F.explode("vs").alias("name")).distinct().withColumn("v", F.monotonically_increasing_id()), "numbers")
+    links = linked.select(F.col("vs")[0].alias("a"), F.explode(F.slice("vs", 2, len(keys))).alias("b")).distinct()
+    links = links.join(numbers.select(F.col("name").alias("a"), F.col("v").alias("u")), "a").join(numbers.select(F.col("name").alias("b"), "v"), "b").select("u", "v")
+    roots = numbers.join(components(links, store), "v").select("name", "root")
+    first = rows.select(F.col("vs")[0].alias("name"), "id").distinct()
+    members = store.write(first.join(roots, "name", "left").select(F.col("name").alias("v"), "id", "root"), "members")
+    least = members.where(F.col("root").isNotNull()).groupBy("root").agg(F.min("id").alias("group_id"))
     # the root of a huge group meets one row of `least`; the adaptive skew join splits its side
-    return store.write(members.join(least, "root").select("v", "id", "group_id"), "groups")
+    grouped = members.join(least, "root", "left").select("v", "id", F.when(F.col("root").isNull(), F.col("id")).otherwise(F.col("group_id")).alias("group_id"))
+    groups = store.write(grouped, "groups")
+    store.keep("groups")
+    return groups
