@@ -1,7 +1,7 @@
 """Problem 4: one group identifier for all records linked directly or through others.
 
-Method: low-diameter decomposition. Vertices are record identifiers and link keys; clusters grow from exponentially
-shifted start times, contract to super-vertices, the edges between clusters go to the next level, and the
+Method: low-diameter decomposition. Vertices are records, joined by each key to its first one; clusters grow from
+exponentially shifted start times, contract to super-vertices, the edges between clusters go to the next level, and the
 assignments of all levels are composed.
 """
 
@@ -14,7 +14,7 @@ from auditlake.plans.store import Store
 
 #: Rate of the exponential shifts: the waves of a level cut an edge with a chance of about 1 - exp(-RATE), and end after
 #: about ln(vertices) / RATE rounds at most, or after the diameter of the largest group.
-RATE = 0.2
+RATE = 0.1
 #: Rounds of a wave that are planned at once; after each such batch its state is written and checked for changes.
 BATCH = 8
 
@@ -111,17 +111,19 @@ def consolidate(df: DataFrame, id_col: str, keys: dict[str, Column]) -> DataFram
     rows = df.select(F.col(id_col).cast("string").alias("id"), vertices(F.col(id_col), keys).alias("vs")).where(F.size("vs") > 0)
     # rows with the same identifier and keys say the same; the distinct is combined before its shuffle
     rows = store.write(rows.distinct(), "rows")
-    # vertices get numbers, which no two share as hashes might; only those of rows with a key can be linked
-    linked = rows.where(F.size("vs") > 1)
-    numbers = store.write(linked.select(F.explode("vs").alias("name")).distinct().withColumn("v", F.monotonically_increasing_id()), "numbers")
-    links = linked.select(F.col("vs")[0].alias("a"), F.explode(F.slice("vs", 2, len(keys))).alias("b")).distinct()
-    links = links.join(numbers.select(F.col("name").alias("a"), F.col("v").alias("u")), "a").join(numbers.select(F.col("name").alias("b"), "v"), "b").select("u", "v")
-    roots = numbers.join(components(links, store), "v").select("name", "root")
-    first = rows.select(F.col("vs")[0].alias("name"), "id").distinct()
-    members = store.write(first.join(roots, "name", "left").select(F.col("name").alias("v"), "id", "root"), "members")
-    least = members.where(F.col("root").isNotNull()).groupBy("root").agg(F.min("id").alias("group_id"))
+    # records get numbers, which no two share as hashes might
+    numbers = store.write(rows.select(F.col("vs")[0].alias("v"), "id").distinct().withColumn("n", F.monotonically_increasing_id()), "numbers")
+    # a record without an identifier is named by a key, which links it like its others
+    links = F.when(F.col("id").isNull(), F.col("vs")).otherwise(F.slice("vs", 2, len(keys)))
+    pairs = rows.where(F.size(links) > 0).select(F.col("vs")[0].alias("v"), F.explode(links).alias("key")).distinct()
+    pairs = store.write(pairs.join(numbers.select("v", "n"), "v").select("key", "n"), "pairs")
+    # a key joins its records to the first of them, however many there are; the skew join splits a hot key
+    first = pairs.groupBy("key").agg(F.min("n").alias("u"))
+    linked = pairs.join(first, "key").where(F.col("n") != F.col("u")).select("u", F.col("n").alias("v"))
+    roots = components(linked, store).withColumnRenamed("v", "n")
+    members = store.write(numbers.join(roots, "n", "left").select("v", "id", F.coalesce("root", "n").alias("root")), "members")
+    least = members.groupBy("root").agg(F.min("id").alias("group_id"))
     # the root of a huge group meets one row of `least`; the adaptive skew join splits its side
-    grouped = members.join(least, "root", "left").select("v", "id", F.when(F.col("root").isNull(), F.col("id")).otherwise(F.col("group_id")).alias("group_id"))
-    groups = store.write(grouped, "groups")
+    groups = store.write(members.join(least, "root").select("v", "id", "group_id"), "groups")
     store.keep("groups")
     return groups
