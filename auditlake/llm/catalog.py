@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auditlake.llm import bpe, broken_pairs, consolidate, format_duplicates, grouped_splits, leakage, sentences, split_overlap, survivor, syntax
@@ -36,23 +36,26 @@ def _split_rows(spark: SparkSession, folder: str) -> DataFrame:
     return new.unionByName(held)
 
 
-def _overlaps(rows: DataFrame) -> DataFrame:
+def _sides() -> tuple[Column, Column]:
     part, held = F.col("part"), F.col("held")
-    return split_overlap.overlaps(rows, "ordinal", "code", (part == "train") & ~held, held | part.isin("val", "test"))
+    return (part == "train") & ~held, held | part.isin("val", "test")
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     """Pairs of a training record and an evaluation record with the same program text."""
-    pairs = _overlaps(_split_rows(spark, folder))
+    pairs = split_overlap.overlaps(_split_rows(spark, folder), "ordinal", "code", *_sides())
     return pairs.select(F.least("train_id", "eval_id").alias("ordinal_a"), F.greatest("train_id", "eval_id").alias("ordinal_b"))
 
 
 def p2_report(spark: SparkSession, folder: str) -> DataFrame:
-    """For each evaluation split and source, the evaluation records that occur in training, and the pairs."""
+    """For each evaluation split and source: its records, those that occur in training, the pairs, and the share of their
+    words that lie in chunks that training has too."""
     rows = _split_rows(spark, folder)
-    held = rows.select(F.col("ordinal").alias("eval_id"), F.coalesce("part", F.lit("eval")).alias("split"), "source")
-    pairs = _overlaps(rows).groupBy("eval_id").agg(F.count("*").alias("n"))
-    return pairs.join(held, "eval_id").groupBy("split", "source").agg(F.count("*").alias("leaked_records"), F.sum("n").alias("pairs"))
+    held = rows.where(F.coalesce(_sides()[1], F.lit(False))).select(F.col("ordinal").alias("eval_id"), F.coalesce("part", F.lit("eval")).alias("split"), "source")
+    pairs = split_overlap.overlaps(rows, "ordinal", "code", *_sides()).groupBy("eval_id").agg(F.count("*").alias("n"))
+    parts = split_overlap.overlap_fractions(rows, "ordinal", "code", *_sides()).select("eval_id", "words", "shared")
+    sums = held.join(pairs, "eval_id", "left").join(parts, "eval_id", "left").groupBy("split", "source")
+    return sums.agg(F.count("*").alias("records"), F.count("n").alias("leaked_records"), F.coalesce(F.sum("n"), F.lit(0)).alias("pairs"), (F.sum("shared") / F.sum("words")).alias("overlap"))
 
 
 def _forms(spark: SparkSession, folder: str) -> DataFrame:

@@ -14,12 +14,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from auditlake.plans.store import Store
+
 #: Least number of consecutive words in common.
 WORDS = 12
 #: Least number of consecutive letters and digits in common with a Chinese text.
 LETTERS = 20
-#: The held-out texts are sent to every executor; together they may have at most so many characters.
-MOST_HELD_OUT = 64_000_000
+#: The held-out texts are sent to every executor in blocks of about so many characters, one after the other. Tables of
+#: patterns take BYTES a character at most (measured by a test), so a block takes some 170 MB in a Python worker.
+BLOCK, BYTES = 500_000, 350
 
 _WORD = re.compile(r"\w+")
 _LETTER = re.compile(r"[\W_]+")
@@ -125,18 +128,19 @@ def leaks(docs: DataFrame, doc_col: str, text_col: str, items: DataFrame, item_c
     documents, and held-out texts that are null or shorter than a passage, share none. Repeated rows give repeated
     pairs of the same kind, which are returned once per document row. Empty tables give no rows.
 
-    The documents are read once and not shuffled. The held-out texts are a query set whose size is checked before it
-    is broadcast; a larger one is searched in blocks of MOST_HELD_OUT characters.
+    The documents are read once a block of BLOCK characters of held-out texts, and never shuffled. The pairs of a block
+    are written before the next is collected, so driver and executors hold one block, whatever the size of the query set.
     """
     spark = docs.sparkSession
+    store = Store(spark, "leaks")
     lang = F.col(item_lang_col) if item_lang_col else F.lit(None).cast("string")
     held = items.select(F.col(item_col).alias("i"), F.col(item_text_col).alias("t"), lang.alias("l")).where(F.col("i").isNotNull() & F.col("t").isNotNull())
     total = held.agg(F.coalesce(F.sum(F.length("t")), F.lit(0))).first()[0]
-    blocks = total // MOST_HELD_OUT + 1
+    blocks = total // BLOCK + 1
     doc_type, item_type = docs.schema[doc_col].dataType.simpleString(), items.schema[item_col].dataType.simpleString()
     result = None
     for block in range(blocks):
-        part = held if blocks == 1 else held.where(F.pmod(F.xxhash64("i"), F.lit(blocks)) == block)
+        part = held.where(F.pmod(F.xxhash64("i"), F.lit(blocks)) == block)
         rows = spark.sparkContext.broadcast(sorted({(r["i"], r["t"], is_chinese(r["t"], r["l"])) for r in part.toLocalIterator()}))
 
         def find(batches: Iterator[pa.RecordBatch], rows=rows) -> Iterator[pa.RecordBatch]:
@@ -153,6 +157,7 @@ def leaks(docs: DataFrame, doc_col: str, text_col: str, items: DataFrame, item_c
                 yield pa.RecordBatch.from_arrays([columns[0], columns[1].cast(pa.int64()) if item_type == "bigint" else columns[1]], names=[doc_col, item_col])
 
         texts = docs.select(doc_col, text_col).where(F.col(doc_col).isNotNull() & (F.length(text_col) > 0))
-        found = texts.mapInArrow(find, f"`{doc_col}` {doc_type}, `{item_col}` {item_type}")
+        found = store.write(texts.mapInArrow(find, f"`{doc_col}` {doc_type}, `{item_col}` {item_type}"), f"block-{block}")
+        rows.destroy()
         result = found if result is None else result.unionByName(found)
     return result

@@ -42,7 +42,8 @@ _TRAIL = "\"”’»)]）」』】"
 _FULL = frozenset("。！？｡．।॥")
 _THAI = re.compile(r"[฀-๿]")
 _LETTER = re.compile(r"[^\W\d_]")
-_WORD_BEFORE = re.compile(r"[^\s\"“”„«»()\[\]]+\Z")
+_OUTSIDE_WORD = frozenset("\"“”„«»()[]")
+_WORD = re.compile(r"\S+")
 _WORD_AFTER = re.compile(r"[^\s]+")
 
 
@@ -139,8 +140,22 @@ def _regions(marks: list[re.Match[str]]) -> list[tuple[int, int]]:
     return found
 
 
+def _next_word(part: str, at: int) -> str:
+    """The run without white space that follows a place, whatever lies between."""
+    found = _WORD.search(part, at)
+    return found[0] if found else ""
+
+
+def _word_before(part: str, end: int) -> str:
+    """The word that ends at a place, without quotes and brackets."""
+    start = end
+    while start and not part[start - 1].isspace() and part[start - 1] not in _OUTSIDE_WORD:
+        start -= 1
+    return part[start:end]
+
+
 def candidates(part: str) -> Iterator[tuple[int, str, str, str]]:
-    """Possible sentence ends inside a part: (end, kind, word before, text after).
+    """Possible sentence ends inside a part: (end, kind, word before, word after).
 
     ``kind`` is "yes" for certain ones and "dot" for a full stop that the classifier decides; what certainly is no
     boundary is left out.
@@ -151,6 +166,7 @@ def candidates(part: str) -> Iterator[tuple[int, str, str, str]]:
     inside = iter(regions)
     region = next(inside, None)
     size = len(part)
+    letter, looked = "", 0
     for m in marks:
         if m.start() < at:
             continue
@@ -165,11 +181,11 @@ def candidates(part: str) -> Iterator[tuple[int, str, str, str]]:
             end = at
             while end < size and part[end] in _TRAIL:
                 end += 1
-            after = part[end:].lstrip()
             if end < size and not part[end].isspace():
                 continue
+            after = _next_word(part, end)
             if not after or _shape(after[:1]) not in ("lower", "joins") and not _cjk(after[0]):
-                yield end, "yes", inner, after[:60]
+                yield end, "yes", "", after
             continue
         if c[0] not in ".!?…。！？｡．।॥؟۔":
             continue
@@ -177,23 +193,23 @@ def candidates(part: str) -> Iterator[tuple[int, str, str, str]]:
         while end < size and part[end] in _TRAIL:
             end += 1
         at = end
-        tail = part[end : end + 80]
-        after = tail.lstrip()
+        after = _next_word(part, end)
         if c[0] in _FULL:
             yield end, "yes", "", after
             continue
-        before = part[max(0, m.start() - 60) : m.start()]
-        asian = before[-1:] and _cjk(before[-1])
-        if tail and not tail[0].isspace() and not (c[0] != "." and _cjk(tail[0])) and not asian:
+        asian = m.start() > 0 and _cjk(part[m.start() - 1])
+        if end < size and not part[end].isspace() and not (c[0] != "." and _cjk(part[end])) and not asian:
             continue
-        lower = after[:1].islower() and _script(before) != "other"
+        # the last letter before the mark; each stretch between marks is looked at once
+        letter = next((x for x in reversed(part[looked : m.start()]) if x.isalpha()), letter)
+        looked = m.start()
+        lower = after[:1].islower() and _script(letter) != "other"
         if c == ".":
             if after[:1] in (",", ";", ":"):
                 continue
-            word = _WORD_BEFORE.search(before)
-            yield end, "dot", word[0] if word else "", after
+            yield end, "dot", _word_before(part, m.start()), after
         elif not lower and not (after[:1] in ",;:" and after):
-            yield end, "yes", before[-20:], after
+            yield end, "yes", "", after
 
 
 def _features(before: str, after: str) -> list[int]:
@@ -222,7 +238,7 @@ def reliable(text: str) -> Iterator[tuple[str, str, bool]]:
     for start, end, whole in blocks(text):
         part = text[start:end].strip()
         if last is not None and not whole and part:
-            yield last, part[:80], True
+            yield last, _next_word(part, 0), True
         last = None
         if whole or not part:
             continue

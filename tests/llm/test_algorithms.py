@@ -267,3 +267,19 @@ def test_waves_of_a_chain_end_by_themselves(spark):
     owned = {x["v"]: x["owner"] for x in owners.collect()}
     cut = sum(owned[i] != owned[i + 1] for i in range(n)) / n
     assert cut < 1 - 2.718281828**-consolidate.RATE + 0.02
+
+
+def test_chunks_cut_by_content_and_give_overlap_fractions(spark):
+    r = random.Random(3)
+    vocabulary = [f"w{i}" for i in range(400)]
+    base = [" ".join(r.choice(vocabulary) for _ in range(r.randint(20, 90))) for _ in range(12)]
+    # words put in front move no later cut
+    a, b = split_overlap.chunks(base[0]), split_overlap.chunks("new words " + base[0])
+    assert a[1:] == b[-len(a) + 1 :]
+    rows = [(i, t, True, False) for i, t in enumerate(base)]
+    rows += [(100, base[0].upper(), False, True), (101, base[1] + " " + base[2], False, True), (102, "x1 x2 x3 x4", False, True), (103, None, False, True), (104, "", False, True), (105, base[3], None, None)]
+    df = spark.createDataFrame(rows, "id long, code string, t boolean, e boolean")
+    got = {x["eval_id"]: (x["words"], x["shared"]) for x in split_overlap.overlap_fractions(df, "id", "code", F.col("t"), F.col("e")).collect()}
+    known = {d for t in base for d, _ in split_overlap.chunks(t)}
+    want = {i: (sum(n for _, n in split_overlap.chunks(t)), sum(n for d, n in split_overlap.chunks(t) if d in known)) for i, t, _, e in rows if e and t}
+    assert got == want and got[100][0] == got[100][1] and 0 < got[101][1] < got[101][0] and got[102][1] == 0

@@ -205,6 +205,31 @@ def test_leaks_of_chinese_items_by_their_language(spark):
     assert sorted(map(tuple, leakage.leaks(d, "doc_id", "text", i, "item_id", "text", "lang").collect())) == want
 
 
+def test_blocks_of_held_out_texts_give_the_same(spark, monkeypatch):
+    r = random.Random(4)
+    texts = [" ".join(f"w{r.randrange(300)}" for _ in range(40)) for _ in range(20)]
+    docs = [(k, "start " + " ".join(texts[k % 20].split()[3 : 3 + 10 + k % 5]) + " end") for k in range(60)]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    i = spark.createDataFrame(list(enumerate(texts)), "item_id long, text string")
+    whole = sorted(map(tuple, leakage.leaks(d, "doc_id", "text", i, "item_id", "text").collect()))
+    monkeypatch.setattr(leakage, "BLOCK", 1000)
+    assert sorted(map(tuple, leakage.leaks(d, "doc_id", "text", i, "item_id", "text").collect())) == whole
+    assert whole == [(k, k % 20) for k in range(60) if 10 + k % 5 >= leakage.WORDS]
+
+
+def test_tables_of_patterns_take_the_stated_memory():
+    import tracemalloc
+
+    r = random.Random(5)
+    words = ["".join(r.choice("abcdefghijklmnopqrst") for _ in range(r.randint(3, 9))) for _ in range(2000)]
+    items = [(k, " ".join(r.choice(words) for _ in range(600)), k % 2 == 0) for k in range(40)]
+    tracemalloc.start()
+    kept = [leakage.WuManber(x, 5) for x in leakage.patterns(items)]
+    size = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert kept and size <= 1.3 * leakage.BYTES * sum(len(t) for _, t, _ in items)
+
+
 def _cut(text: str) -> list[str]:
     return [text[a:b] for a, b in sentences.Splitter(sentences.train([])).split(text)]
 
