@@ -24,7 +24,7 @@ def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from auditlake.queries import audits, candidates, records, star  # noqa: F401
+    from auditlake.queries import audits, candidates, records, screening, star  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

@@ -84,6 +84,12 @@ def language(path: Column) -> Column:
     return out
 
 
+def language_name(spelling: Column) -> Column:
+    """The language from any spelling of its name, in lower case; py, python3 and the like are python."""
+    low = F.lower(F.trim(spelling))
+    return F.when(low.rlike(r"^(c?python|py)[ .0-9]*$"), "python").otherwise(low)
+
+
 def path_kind(path: Column) -> Column:
     """``unknown``, ``conftest``, ``test`` or ``production``, in this order."""
     plain = F.replace(F.coalesce(path, F.lit("")), F.lit("\\"), F.lit("/"))

@@ -22,12 +22,12 @@ def _findings(spark: SparkSession, d: str) -> DataFrame:
     return scan.line_findings(table(spark, d, "new_detect"), "code", "ordinal")
 
 
-def _findings_sql() -> str:
+def _findings_sql(table_name: str = "new_detect", column: str = "code") -> str:
     hits = [f"CASE WHEN regexp_matches(raw, {quoted('(?i)' + p)}) THEN '{r}' END" for r, p in scan.LINE_PATTERNS.items()]
     hits += [f"CASE WHEN TRY_CAST(regexp_extract(raw, {quoted('(?i)' + p)}, 1) AS BIGINT) < {least} THEN '{r}' END" for r, p, least in scan.NUMBER_PATTERNS]
     return f"""
 SELECT DISTINCT ordinal, line, raw, rule_id FROM (
-  SELECT ordinal, line, raw, unnest([{", ".join(hits)}]) AS rule_id FROM ({lines('new_detect', 'code', 'ordinal')})
+  SELECT ordinal, line, raw, unnest([{", ".join(hits)}]) AS rule_id FROM ({lines(table_name, column, 'ordinal')})
   WHERE {_STRIP} <> '' AND NOT regexp_matches({_STRIP}, '{scan.COMMENT}')
 ) WHERE rule_id IS NOT NULL
 """
@@ -307,17 +307,23 @@ def running_id(spark: SparkSession, d: str) -> DataFrame:
     return relational.running_ids(table(spark, d, "new_triage").select("ordinal", "rule"), "rule", "ordinal", "fx").select("ordinal", "new_id")
 
 
+def _python_records(spark: SparkSession, d: str) -> DataFrame:
+    """Records in Python by any spelling, spread by rows before they reach the Python workers."""
+    rows = table(spark, d, "new_detect").where(text.language_name(F.col("lang")).eqNullSafe("python") & F.col("code").isNotNull())
+    return rows.select("ordinal", "code").repartition("ordinal")
+
+
 @query("python_ast_findings")
 def python_ast_findings(spark: SparkSession, d: str) -> DataFrame:
     """Findings of the syntax-tree scanner in Python records."""
-    rows = table(spark, d, "new_detect").where(F.lower("lang").isin("python", "py", "python3") & F.col("code").isNotNull())
+    rows = _python_records(spark, d)
     return source_ast.findings(rows.select("ordinal", "code"), "ordinal", F.col("code"))
 
 
 @query("ast_functions")
 def ast_functions(spark: SparkSession, d: str) -> DataFrame:
     """The functions of Python records by their syntax trees."""
-    rows = table(spark, d, "new_detect").where(F.lower("lang").isin("python", "py", "python3"))
+    rows = _python_records(spark, d)
     return source_ast.function_table(rows.select("ordinal", "code"), "ordinal", F.col("code"))
 
 
@@ -416,11 +422,3 @@ def positional_split(spark: SparkSession, d: str) -> DataFrame:
     """The first eight rows of each source and rule to train, one to val and two to test."""
     rows = table(spark, d, "new_triage").select("ordinal", F.struct("source", "rule").alias("g"))
     return relational.positional_split(rows, "g", "ordinal", {"train": 8, "val": 1, "test": 2}).select("ordinal", "split")
-
-
-@query("file_scores")
-def file_scores(spark: SparkSession, d: str) -> DataFrame:
-    """The score of each candidate's file as the implementation of its fix."""
-    from auditlake.operators.candidates import file_score
-
-    return table(spark, d, "candidates").select("ordinal", file_score(F.col("file_path"), F.col("code_vuln"), F.col("package")).alias("score"))
