@@ -18,11 +18,19 @@ def bucket_64(text: Column, buckets: int = 100) -> Column:
 
 
 def bucket_256(text: Column, buckets: int = 100) -> Column:
-    """The whole SHA-256 as one number modulo ``buckets``, by Horner's rule over its eight words."""
-    hexes = F.sha2(text, 256)
-    words = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.conv(F.substring(hexes, i * 8 + 1, F.lit(8)), 16, 10).cast("bigint"))
+    """The whole SHA-256 as one number modulo ``buckets``, by Horner's rule over its eight words.
+
+    The digest is the one element of a list that is mapped, so that it is computed once a row and not once a word.
+    """
     step = (1 << 32) % buckets
-    return F.aggregate(words, F.lit(0).cast("bigint"), lambda a, x: (a * step + x) % buckets).cast("int")
+
+    def reduced(hexes: Column) -> Column:
+        out = F.lit(0).cast("bigint")
+        for i in range(8):
+            out = (out * step + F.conv(F.substring(hexes, i * 8 + 1, 8), 16, 10).cast("bigint")) % buckets
+        return out.cast("int")
+
+    return F.get(F.transform(F.array(F.sha2(text, 256)), reduced), 0)
 
 
 def split_80_10_10(key: Column) -> Column:
@@ -33,8 +41,12 @@ def split_80_10_10(key: Column) -> Column:
 
 def split_90_5_5(text: Column) -> Column:
     """``train`` for buckets 0-89 of the collapsed text, ``val`` for 90-94, else ``test``."""
-    b = bucket_256(collapsed(text))
-    return F.when(b < 90, "train").when(b < 95, "val").otherwise("test")
+    return F.get(F.transform(F.array(bucket_256(collapsed(text))), split_of_bucket), 0)
+
+
+def split_of_bucket(bucket: Column) -> Column:
+    """``train`` for 0-89, ``val`` for 90-94, else ``test``."""
+    return F.when(bucket < 90, "train").when(bucket < 95, "val").otherwise("test")
 
 
 def sample_value(key: Column, seed: str) -> Column:

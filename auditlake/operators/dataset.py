@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from auditlake.functions.text import collapsed, first_present
-from auditlake.operators.relational import key_overlap
+from auditlake.functions.text import collapsed
 
 # Required keys, accepted CWEs of each rule, prompt texts and layouts.
 REQUIRED = ["id", "lang", "task", "code", "label", "source", "license", "verified", "split"]
@@ -155,15 +155,29 @@ def metadata(df: DataFrame, kind: str) -> DataFrame:
 def leak_matrix(evaluation: dict[str, DataFrame], training: dict[str, DataFrame], keys: dict[str, str]) -> DataFrame:
     """(evaluation, training, dimension, shared_keys, left_rows, right_rows) for every pair and dimension.
 
-    ``keys`` gives each dimension by the column that holds its key; null keys are shared by none.
+    ``keys`` gives each dimension by the column that holds its key; null keys are shared by none. Every set is read
+    once: its keys are counted by set in one aggregation, and the pairs are sums over the keys.
     """
-    parts = []
-    for e, left in evaluation.items():
-        for t, right in training.items():
-            for dimension, column in keys.items():
-                both = key_overlap(left, right, column).agg(F.count("*").alias("shared_keys"), F.coalesce(F.sum("left_rows"), F.lit(0)).alias("left_rows"), F.coalesce(F.sum("right_rows"), F.lit(0)).alias("right_rows"))
-                parts.append(both.select(F.lit(e).alias("evaluation"), F.lit(t).alias("training"), F.lit(dimension).alias("dimension"), "shared_keys", "left_rows", "right_rows"))
-    return reduce(DataFrame.unionByName, parts)
+    sets = [(f"e{i}", df) for i, df in enumerate(evaluation.values())] + [(f"t{i}", df) for i, df in enumerate(training.values())]
+    columns = F.array(*(F.struct(F.lit(d).alias("dimension"), F.col(c).cast("string").alias("key")) for d, c in keys.items()))
+    rows = reduce(DataFrame.unionByName, (df.select(F.lit(name).alias("s"), F.explode(columns).alias("k")).select("s", "k.*") for name, df in sets))
+    counts = rows.where(F.col("key").isNotNull()).groupBy("dimension", "key").agg(*(F.count_if(F.col("s") == name).alias(name) for name, _ in sets))
+    pairs = [(e, t, f"e{i}", f"t{j}") for i, e in enumerate(evaluation) for j, t in enumerate(training)]
+    sums = []
+    for e, t, a, b in pairs:
+        both = (F.col(a) > 0) & (F.col(b) > 0)
+        sums += [F.count_if(both).alias(f"{a}{b}n"), F.sum(F.when(both, F.col(a)).otherwise(0)).alias(f"{a}{b}l"), F.sum(F.when(both, F.col(b)).otherwise(0)).alias(f"{a}{b}r")]
+    whole = counts.groupBy("dimension").agg(*sums)
+    # a dimension without any key has a row too
+    every = df_of(sets[0][1], [(d,) for d in keys], "dimension string").join(whole, "dimension", "left")
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0).cast("long"))
+    cells = F.array(*(F.struct(F.lit(e).alias("evaluation"), F.lit(t).alias("training"), zero(f"{a}{b}n").alias("shared_keys"), zero(f"{a}{b}l").alias("left_rows"), zero(f"{a}{b}r").alias("right_rows")) for e, t, a, b in pairs))
+    return every.select("dimension", F.explode(cells).alias("c")).select("c.evaluation", "c.training", "dimension", "c.shared_keys", "c.left_rows", "c.right_rows")
+
+
+def df_of(like: DataFrame, rows: list[tuple], schema: str) -> DataFrame:
+    """A small table in the session of another one."""
+    return like.sparkSession.createDataFrame(rows, schema)
 
 
 def split_leaks(df: DataFrame, key: Column, split: Column) -> DataFrame:
@@ -177,7 +191,7 @@ def split_leaks(df: DataFrame, key: Column, split: Column) -> DataFrame:
 def quality_report(df: DataFrame, identifier: str) -> DataFrame:
     """(check, failures, passed): the checks of a record set in one table."""
     duplicates = df.groupBy(identifier).agg(F.count("*").alias("n")).where(F.col("n") > 1).agg(F.count("*").alias("failures"))
-    codes = df.select(collapsed(F.col("code")).alias("k"), "task", F.col("label.vulnerable").alias("v")).where(F.col("k") != "").groupBy("k", "task").agg(F.count_distinct("v").alias("n")).where(F.col("n") > 1).agg(F.count("*").alias("failures"))
+    codes = df.select(F.sha2(collapsed(F.col("code")), 256).alias("k"), "task", F.col("label.vulnerable").alias("v")).where(F.col("k") != hashlib.sha256(b"").hexdigest()).groupBy("k", "task").agg(F.count_distinct("v").alias("n")).where(F.col("n") > 1).agg(F.count("*").alias("failures"))
     missing = missing_values(df, identifier, ["id", "task", "code", "source", "split"]).agg(F.count("*").alias("failures"))
     parts = {"duplicate_ids": duplicates, "label_conflicts": codes, "missing_fields": missing}
     return reduce(DataFrame.unionByName, (d.select(F.lit(name).alias("check_name"), "failures", (F.col("failures") == 0).alias("passed")) for name, d in parts.items()))
@@ -187,8 +201,3 @@ def file_manifest(df: DataFrame, path: str = "path", content: str = "content") -
     """(path, bytes, sha256, line_count) of files read with their content."""
     text = F.decode(F.col(content), "UTF-8")
     return df.select(path, F.octet_length(content).alias("bytes"), F.sha2(F.col(content), 256).alias("sha256"), F.size(F.filter(F.split(text, "\n"), lambda x: F.trim(x) != "")).alias("line_count"))
-
-
-def evidence_value(*names: str) -> Column:
-    """The first non-empty of several columns."""
-    return first_present(*map(F.col, names))

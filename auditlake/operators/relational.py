@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from auditlake.plans.skew import small_side
+from auditlake.plans.skew import rank_within
 
 
 def _packed(df: DataFrame) -> Column:
@@ -44,10 +44,14 @@ def running_sum(value: Column, group: str, ordinal: str) -> Column:
     return F.sum(value).over(Window.partitionBy(group).orderBy(ordinal).rowsBetween(Window.unboundedPreceding, 0))
 
 
+#: Arrivals of a chunk in which rows are ranked.
+STRETCH = 100_000
+
+
 def running_ids(df: DataFrame, group: str, ordinal: str, prefix: str, name: str = "new_id") -> DataFrame:
-    """Identifiers ``prefix-group-01``, ``-02`` and so on in each group."""
-    n = F.row_number().over(Window.partitionBy(group).orderBy(ordinal))
-    return df.withColumn(name, F.format_string(f"{prefix}-%s-%02d", F.coalesce(F.col(group), F.lit("none")), n))
+    """Identifiers ``prefix-group-01``, ``-02`` and so on in each group, ranked by stretches of arrival numbers."""
+    ranked = rank_within(df, [group], [ordinal], F.floor(F.col(ordinal) / STRETCH), "_rank")
+    return ranked.withColumn(name, F.format_string(f"{prefix}-%s-%02d", F.coalesce(F.col(group), F.lit("none")), F.col("_rank"))).drop("_rank")
 
 
 def union_sources(sources: dict[str, DataFrame]) -> DataFrame:
@@ -109,14 +113,16 @@ def key_overlap(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
 
 def enclosing(points: DataFrame, intervals: DataFrame, group: str, at: str, start: str, end: str, pick: str = "outermost") -> DataFrame:
     """Each point with one interval of its group that contains it: ``outermost`` (smallest start), ``innermost``
-    (shortest, then the later start) or ``first`` (smallest ``ordinal`` of the interval). Points in none are left out.
+    (shortest, then the later start) or ``first`` (smallest ``position`` of the interval). Points in none are left out.
 
-    The join hashes on the group; an interval is picked by a combined aggregation.
+    ``outermost`` takes two sorted sweeps of a group and no join: of the intervals only those count that reach beyond
+    all that start before them, and of these the first that ends at or after the point. The others join on the group.
     """
+    if pick == "outermost":
+        return _outermost(points, intervals, group, at, start, end)
     order = {
-        "outermost": F.struct(F.col(start), -F.col(end)),
         "innermost": F.struct(F.col(end) - F.col(start), -F.col(start)),
-        "first": F.struct(F.col("ordinal")) if "ordinal" in intervals.columns else F.struct(F.col(start)),
+        "first": F.struct(F.col("position")) if "position" in intervals.columns else F.struct(F.col(start)),
     }[pick]
     hits = points.join(intervals, group).where((F.col(at) >= F.col(start)) & (F.col(at) <= F.col(end)))
     extra = [c for c in intervals.columns if c != group]
@@ -124,6 +130,20 @@ def enclosing(points: DataFrame, intervals: DataFrame, group: str, at: str, star
     return hits.groupBy(*keys).agg(F.min_by(F.struct(*extra), order).alias("_i")).select(*keys, "_i.*")
 
 
+def _outermost(points: DataFrame, intervals: DataFrame, group: str, at: str, start: str, end: str) -> DataFrame:
+    extra = [c for c in intervals.columns if c != group]
+    reach = F.max(end).over(Window.partitionBy(group).orderBy(start, F.desc(end)).rowsBetween(Window.unboundedPreceding, -1))
+    leading = intervals.withColumn("_reach", reach).where(F.col("_reach").isNull() | (F.col(end) > F.col("_reach")))
+    own = [c for c in points.columns if c != group]
+    ends = leading.select(F.col(group), F.col(end).alias("_at"), F.lit(1).alias("_kind"), F.struct(*extra).alias("_i"))
+    asked = points.select(F.col(group), F.col(at).alias("_at"), F.lit(0).alias("_kind"), F.struct(*own).alias("_p"))
+    both = asked.unionByName(ends, allowMissingColumns=True)
+    # a point comes before the end of an interval at the same place, which still contains it
+    nearest = F.first("_i", ignorenulls=True).over(Window.partitionBy(group).orderBy("_at", "_kind").rowsBetween(0, Window.unboundedFollowing))
+    found = both.withColumn("_i", nearest).where((F.col("_kind") == 0) & (F.col(f"_i.{start}") <= F.col("_at")))
+    return found.select(group, *(F.col(f"_p.{c}").alias(c) for c in own), "_i.*").select(*points.columns, *extra)
+
+
 def forward_as_of(group: str, ordinal: str, wanted: Column) -> Column:
     """The ordinal of the next row after this one, in its group, for which ``wanted`` holds."""
     return F.min(F.when(wanted, F.col(ordinal))).over(Window.partitionBy(group).orderBy(ordinal).rowsBetween(1, Window.unboundedFollowing))
@@ -131,12 +151,13 @@ def forward_as_of(group: str, ordinal: str, wanted: Column) -> Column:
 
 def stratified_holdout(df: DataFrame, stratum: str, identifier: str, seed: str, share: float) -> DataFrame:
     """``df`` with ``held_out``: in each stratum the first rounded share, at least one row, in the order of the
-    seeded digest of the identifier."""
-    order = F.sha2(F.concat(F.lit(f"{seed}:"), F.col(identifier).cast("string")), 256)
-    w = Window.partitionBy(stratum)
-    n = F.count("*").over(w)
-    place = F.row_number().over(w.orderBy(order, identifier))
-    return df.withColumn("held_out", place <= F.greatest(F.lit(1), F.floor(n * share + 0.5)))
+    seeded digest of the identifier. Strata are ranked by the first bytes of the digest, so none is one task."""
+    digest = F.sha2(F.concat(F.lit(f"{seed}:"), F.col(identifier).cast("string")), 256)
+    rows = df.withColumn("_digest", digest)
+    ranked = rank_within(rows, [stratum], ["_digest", identifier], F.conv(F.substring("_digest", 1, 3), 16, 10).cast("int"), "_rank")
+    sizes = df.groupBy(F.col(stratum).alias("_s")).agg(F.count("*").alias("_size"))
+    held = F.col("_rank") <= F.greatest(F.lit(1), F.floor(F.col("_size") * share + 0.5))
+    return ranked.join(sizes, F.col(stratum).eqNullSafe(F.col("_s"))).select(*df.columns, held.alias("held_out"))
 
 
 def top_counts(df: DataFrame, value: str, ordinal: str, k: int) -> DataFrame:
@@ -177,17 +198,26 @@ def lookup_status(df: DataFrame, other: DataFrame, key: str, usable: Column) ->
 
 
 def positional_split(df: DataFrame, group: str, ordinal: str, counts: dict[str, int]) -> DataFrame:
-    """``df`` with ``split``: in each group the first rows to the first split, and so on; later rows have null."""
-    place = F.row_number().over(Window.partitionBy(group).orderBy(ordinal))
+    """``df`` with ``split``: in each group the first rows to the first split, and so on; later rows have null.
+
+    Rows are ranked by stretches of arrival numbers, so a hot group is not one task.
+    """
+    ranked = rank_within(df, [group], [ordinal], F.floor(F.col(ordinal) / STRETCH), "_rank")
     out, upto = F.lit(None).cast("string"), sum(counts.values())
     for name, n in reversed(counts.items()):
-        out = F.when(place <= upto, name).otherwise(out)
+        out = F.when(F.col("_rank") <= upto, name).otherwise(out)
         upto -= n
-    return df.withColumn("split", out)
+    return ranked.withColumn("split", out).drop("_rank")
 
 
 def expanded(templates: DataFrame, names: DataFrame, group: str, ordinal: str, most: int) -> DataFrame:
-    """Every template with every name, the first ``most`` of each group. Both sides are small lists of literals."""
-    rows = templates.crossJoin(small_side(names, 10_000))
+    """Every template with every name, the first ``most`` of each group by template and name.
+
+    Only the first ``most`` names and, in each group, templates can be among these, so both are cut before they are
+    multiplied: at most ``most`` squared rows a group, and ``most`` names are broadcast.
+    """
+    first = names.orderBy(*names.columns).limit(most)
+    heads = rank_within(templates, [group], [ordinal], F.floor(F.col(ordinal) / STRETCH), "_head").where(F.col("_head") <= most).drop("_head")
+    rows = heads.crossJoin(F.broadcast(first))
     place = F.row_number().over(Window.partitionBy(group).orderBy(ordinal, *names.columns))
     return rows.withColumn("_place", place).where(F.col("_place") <= most).drop("_place")

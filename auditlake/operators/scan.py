@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from auditlake.functions.text import lines
+from auditlake.plans.skew import spread
 
 # The rules, what they mean, and their patterns.
 SEVERITIES = ["INFO", "LOW", "MEDIUM", "HIGH", "CRITICAL"]
@@ -136,10 +141,14 @@ def line_rules(raw: Column, low: Column) -> Column:
     return F.when(~skipped, found)
 
 
+def _ruled_lines(df: DataFrame, text: str, *keep: str) -> DataFrame:
+    """(keep..., line, raw, low) of every line; ``low`` is a column of its own, so that it is computed once for all rules."""
+    return source_lines(spread(df.select(*dict.fromkeys([*keep, text])), keep[0]), text, *keep).withColumn("low", F.lower("raw"))
+
+
 def line_findings(df: DataFrame, text: str, *keep: str) -> DataFrame:
     """One row for each rule and line: (keep..., line, rule_id, column_at, snippet)."""
-    # a column of its own, so that it is computed once for all rules
-    rows = source_lines(df, text, *keep).withColumn("low", F.lower("raw"))
+    rows = _ruled_lines(df, text, *keep)
     stripped = F.regexp_replace("raw", r"(?U)^\s+|\s+$", "")
     # the outer explode keeps the optimizer from computing the rules once more for a filter before it
     hits = rows.select(*keep, "line", "raw", F.explode_outer(line_rules(F.col("raw"), F.col("low"))).alias("rule_id")).where(F.col("rule_id").isNotNull())
@@ -147,6 +156,27 @@ def line_findings(df: DataFrame, text: str, *keep: str) -> DataFrame:
     return hits.select(*keep, "line", "rule_id", "column_at", "snippet")
 
 
+def engine_findings(df: DataFrame, text: str, literals: dict[str, tuple[str, str]], *keep: str) -> DataFrame:
+    """(keep..., line, rule_id, severity, engine): the line rules, engine 1, and literal searches, engine 0, in one pass.
+
+    ``literals`` gives a rule and severity for each text that a line may hold; comments count for these.
+    """
+    severities = F.create_map(*(F.lit(x) for rule, (_, _, severity) in RULES.items() for x in (rule, severity)))
+    own = F.transform(F.coalesce(line_rules(F.col("raw"), F.col("low")), F.array().cast("array<string>")), lambda r: F.struct(r.alias("rule_id"), severities[r].alias("severity"), F.lit(1).alias("engine")))
+    other = F.array_compact(F.array(*(F.when(F.col("raw").contains(part), F.struct(F.lit(rule).alias("rule_id"), F.lit(severity).alias("severity"), F.lit(0).alias("engine"))) for part, (rule, severity) in literals.items())))
+    found = _ruled_lines(df, text, *keep).select(*keep, "line", F.explode_outer(F.concat(own, other)).alias("f"))
+    return found.where(F.col("f").isNotNull()).select(*keep, "line", "f.*")
+
+
+def first_rule(df: DataFrame, text: str, *keep: str) -> DataFrame:
+    """(keep..., rule_id): each row with its smallest rule, null if it breaks none; ``keep`` tells rows apart.
+
+    The lines of a row lie in one task, so they are combined before the shuffle.
+    """
+    rows = spread(df, keep[0]).select(*keep, F.explode_outer(lines(F.col(text))).alias("raw")).withColumn("low", F.lower("raw"))
+    return rows.select(*keep, F.array_min(line_rules(F.col("raw"), F.col("low"))).alias("r")).groupBy(*keep).agg(F.min("r").alias("rule_id"))
+
+
 def with_rule(findings: DataFrame) -> DataFrame:
     """Findings with title, CWE and severity; thirteen rules, so they are broadcast."""
     return findings.join(F.broadcast(rule_table(findings)), "rule_id", "left").withColumns({"severity": F.coalesce("severity", F.lit("MEDIUM")), "cwe": F.coalesce("cwe", F.lit("CWE-UNKNOWN"))})
@@ -224,19 +254,45 @@ def exceeds(findings: DataFrame, threshold: str = "MEDIUM", most: dict[str, int]
     return findings.agg(reached.alias("exceeded"), F.count("*").alias("findings"))
 
 
+_DEF = re.compile(r"[ \t]*(?:async[ \t]+)?def[ \t]+([A-Za-z_][A-Za-z0-9_]*)")
+_INDENT = re.compile(r"[ \t]*")
+_BLANK = " \t\n\x0b\f\r"
+
+
+def indented_functions(text: str | None) -> list[tuple[str, int, int]]:
+    """(name, first line, last line) of the functions of a text by indentation, in one pass with a stack of open ones."""
+    found: list[tuple[str, int, int]] = []
+    opened: list[tuple[int, str, int]] = []
+    last = 0
+    for number, line in enumerate((text or "").splitlines(), 1):
+        if not line.strip(_BLANK):
+            continue
+        indent = _INDENT.match(line).end()
+        while opened and indent <= opened[-1][0]:
+            _, name, first = opened.pop()
+            found.append((name, first, number - 1))
+        head = _DEF.match(line)
+        if head:
+            opened.append((indent, head[1], number))
+        last = number
+    return found + [(name, first, last) for _, name, first in opened]
+
+
 def function_ranges(df: DataFrame, text: str, key: str) -> DataFrame:
     """(key, name, start_line, end_line): the functions of Python text by indentation.
 
-    A function ends before the next line that is not blank and not indented deeper than its header.
+    A function ends before the next line that is not blank and not indented deeper than its header. Only texts that
+    hold a header reach a Python worker.
     """
-    rows = source_lines(df, text, key).where(~F.col("raw").rlike(r"^\s*$"))
-    rows = rows.withColumns({"indent": F.length(F.regexp_extract("raw", r"^([ \t]*)", 1)), "name": F.regexp_extract("raw", r"^[ \t]*(?:async[ \t]+)?def[ \t]+([A-Za-z_]\w*)", 1)})
-    last = rows.groupBy(key).agg(F.max("line").alias("last_line"))
-    heads = rows.where(F.col("name") != "").select(key, "name", F.col("line").alias("start_line"), F.col("indent").alias("head_indent"))
-    after = rows.select(key, "line", "indent")
-    ends = heads.join(after, key).where((F.col("line") > F.col("start_line")) & (F.col("indent") <= F.col("head_indent"))).groupBy(key, "name", "start_line").agg((F.min("line") - 1).alias("end_line"))
-    joined = heads.join(ends, [key, "name", "start_line"], "left").join(last, key)
-    return joined.select(key, "name", "start_line", F.coalesce("end_line", "last_line").alias("end_line"))
+    kind = df.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [(k, *f) for k, t in zip(batch[key], batch[text], strict=True) for f in indented_functions(t)]
+            yield pd.DataFrame(rows, columns=[key, "name", "start_line", "end_line"])
+
+    rows = spread(df.select(key, text), key).where(F.col(text).contains("def"))
+    return rows.mapInPandas(run, f"`{key}` {kind}, name string, start_line int, end_line int")
 
 
 def brace_depth(df: DataFrame, text: str, key: str) -> DataFrame:

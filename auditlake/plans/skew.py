@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: A key is hot if it holds at least one part in HOT_PARTS of all rows, so there are at most HOT_PARTS hot keys.
@@ -51,6 +51,28 @@ def two_level_agg(df: DataFrame, key: str, spread: str, partial: list[Column], f
     return df.join(hot, key, "left_anti").groupBy(key).agg(*partial).unionByName(salted)
 
 
-def small_side(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
-    """``df`` marked for broadcast if it has at most ``rows`` (narrow) rows, else as it is, for a shuffled join."""
-    return F.broadcast(df) if df.count() <= rows else df
+def spread(df: DataFrame, by: str) -> DataFrame:
+    """The rows of a scan over all cores, where its files have fewer splits than that; else as they are.
+
+    For work that costs far more than moving its rows. A table of many splits, as on a cluster, is never shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    splits = df._jdf.queryExecution().toRdd().getNumPartitions()
+    return df if splits >= cores else df.repartition(cores, by)
+
+
+def rank_within(df: DataFrame, groups: list[str], order: list[str], chunk: Column, name: str) -> DataFrame:
+    """``df`` with the place of each row in its group, from 1, by ``order``.
+
+    ``chunk`` is a number that never falls in this order. Rows are ranked within (group, chunk), and the counts of the
+    chunks before are added, so a hot group is spread over as many tasks as it has chunks. Null is a group of its own.
+    """
+    rows = df.withColumn("_chunk", chunk)
+    counts = rows.groupBy(*groups, "_chunk").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*groups).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = counts.select(*(F.col(g).alias(f"_g{i}") for i, g in enumerate(groups)), F.col("_chunk").alias("_c"), before.alias("_before"))
+    placed = rows.withColumn("_place", F.row_number().over(Window.partitionBy(*groups, "_chunk").orderBy(*order)))
+    same = F.col("_chunk") == F.col("_c")
+    for i, g in enumerate(groups):
+        same = same & F.col(g).eqNullSafe(F.col(f"_g{i}"))
+    return placed.join(offsets, same).select(*df.columns, (F.col("_place") + F.col("_before")).cast("int").alias(name))

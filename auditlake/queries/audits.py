@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from auditlake.catalog import query
 from auditlake.functions import text
 from auditlake.operators import metrics, relational, scan, source_ast
+from auditlake.plans.skew import spread
 from auditlake.queries.sql import LINE_END, empty, lines, quoted
 from auditlake.sources.tables import table
 
@@ -59,9 +60,7 @@ UNION ALL SELECT ordinal, line, 'CRYPTO-010', 'CRITICAL', 0 FROM ({lines('new_de
 
 
 def _two_engines(spark: SparkSession, d: str) -> DataFrame:
-    own = scan.with_rule(_findings(spark, d)).select("ordinal", "line", "rule_id", "severity", F.lit(1).alias("engine"))
-    other = _lines(spark, d).where(F.col("raw").contains("verify=False")).select("ordinal", "line", F.lit("CRYPTO-010").alias("rule_id"), F.lit("CRITICAL").alias("severity"), F.lit(0).alias("engine"))
-    return own.unionByName(other)
+    return scan.engine_findings(table(spark, d, "new_detect"), "code", {"verify=False": ("CRYPTO-010", "CRITICAL")}, "ordinal")
 
 
 _RANK_SQL = "list_position(['INFO', 'LOW', 'MEDIUM', 'HIGH', 'CRITICAL'], severity)"
@@ -161,18 +160,24 @@ LEFT JOIN (SELECT ordinal, min(rule_id) AS r FROM ({_findings_sql()}) GROUP BY o
 
 
 def _systems(spark: SparkSession, d: str) -> DataFrame:
-    new = table(spark, d, "new_detect")
-    llm = new.select(F.lit("llm").alias("system"), "label", scan.mock_detect(F.col("code")).alias("p")).select("system", "label", F.col("p.vulnerable").alias("v"), F.col("p.cwe").alias("pc"))
-    first = _findings(spark, d).groupBy("ordinal").agg(F.min("rule_id").alias("rule_id"))
-    static = new.select("ordinal", "label").join(scan.with_rule(first).select("ordinal", "cwe"), "ordinal", "left")
-    return llm.unionByName(static.select(F.lit("static").alias("system"), "label", F.col("cwe").isNotNull().alias("v"), F.col("cwe").alias("pc")))
+    """The verdicts of the model's signals and of the line rules on every record, from one scan."""
+    new = table(spark, d, "new_detect").select("ordinal", F.col("label.vulnerable").alias("t"), F.col("label.cwe").alias("tc"), "code")
+    # ordinal tells records apart, so the other columns only ride along
+    rows = new.select("ordinal", "t", "tc", "code", scan.mock_detect(F.col("code")).alias("p"))
+    first = scan.first_rule(rows.select("ordinal", "t", "tc", F.col("p.vulnerable").alias("pv"), F.col("p.cwe").alias("pc"), "code"), "code", "ordinal", "t", "tc", "pv", "pc")
+    cwes = F.create_map(*(F.lit(x) for rule, (_, cwe, _) in scan.RULES.items() for x in (rule, cwe)))
+    both = F.array(
+        F.struct(F.lit("llm").alias("system"), F.col("pv").alias("v"), "pc"),
+        F.struct(F.lit("static").alias("system"), F.col("rule_id").isNotNull().alias("v"), cwes[F.col("rule_id")].alias("pc")),
+    )
+    return first.select("t", "tc", F.explode(both).alias("s")).select("t", "tc", "s.*")
 
 
 @query("metrics_by_system", _metrics_sql(f"{_LLM_SQL} UNION ALL {_STATIC_SQL}", "system"))
 def metrics_by_system(spark: SparkSession, d: str) -> DataFrame:
     """Detection metrics of the line rules and of the mock model."""
     rows = _systems(spark, d)
-    return metrics.detect_metrics(rows, F.col("label.vulnerable"), F.col("v"), F.col("label.cwe"), F.col("pc"), "system")
+    return metrics.detect_metrics(rows, F.col("t"), F.col("v"), F.col("tc"), F.col("pc"), "system")
 
 
 @query("detect_metrics", _metrics_sql(_LLM_SQL))
@@ -308,9 +313,9 @@ def running_id(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _python_records(spark: SparkSession, d: str) -> DataFrame:
-    """Records in Python by any spelling, spread by rows before they reach the Python workers."""
+    """Records in Python by any spelling."""
     rows = table(spark, d, "new_detect").where(text.language_name(F.col("lang")).eqNullSafe("python") & F.col("code").isNotNull())
-    return rows.select("ordinal", "code").repartition("ordinal")
+    return spread(rows.select("ordinal", "code"), "ordinal")
 
 
 @query("python_ast_findings")
@@ -331,7 +336,7 @@ def ast_functions(spark: SparkSession, d: str) -> DataFrame:
 def c_findings(spark: SparkSession, d: str) -> DataFrame:
     """Findings of the C scanner over every record."""
     rows = table(spark, d, "new_detect").where(F.col("code").isNotNull()).select("ordinal", "code")
-    return source_ast.findings(rows, "ordinal", F.col("code"), source_ast.scan_c)
+    return source_ast.findings(spread(rows, "ordinal"), "ordinal", F.col("code"), source_ast.scan_c)
 
 
 @query("unsafe_c_calls", f"""

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from auditlake.catalog import query
 from auditlake.functions import hashing, text
 from auditlake.operators import dataset, relational, source_ast
+from auditlake.plans.skew import spread
 from auditlake.queries.sql import collapsed, empty, no_space, quoted
 from auditlake.sources.tables import table
 
@@ -88,7 +89,8 @@ SELECT ordinal, CAST(bucket AS INTEGER) AS bucket, CASE WHEN bucket < 90 THEN 't
 )
 def split_90_5_5(spark: SparkSession, d: str) -> DataFrame:
     rows = _detect(spark, d).where(F.col("code").isNotNull())
-    return rows.select("ordinal", hashing.bucket_256(text.collapsed(F.col("code"))).alias("bucket"), hashing.split_90_5_5(F.col("code")).alias("split"))
+    rows = spread(rows.select("ordinal", "code"), "ordinal").select("ordinal", hashing.bucket_256(text.collapsed(F.col("code"))).alias("bucket"))
+    return rows.withColumn("split", hashing.split_of_bucket(F.col("bucket")))
 
 
 @query("stable_sample", f"SELECT ordinal FROM new_detect WHERE id IS NOT NULL AND CAST(('0x' || substr(sha256('audit:' || id), 1, 16))::UBIGINT AS DOUBLE) / 18446744073709551616.0 < 0.25")

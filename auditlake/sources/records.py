@@ -176,8 +176,3 @@ def commit_files_provider(fetch: object) -> object:
         return df.select("owner", "repo", "sha").distinct().mapInPandas(run, "owner string, repo string, sha string, path string, patch string, error string")
 
     return read
-
-
-def first_truthy(*values: Column) -> Column:
-    """The first value that isn't null or empty, else empty."""
-    return F.coalesce(*(F.nullif(v, F.lit("")) for v in values), F.lit(""))
