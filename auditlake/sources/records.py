@@ -10,6 +10,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from auditlake.plans.skew import rank_within
+from auditlake.plans.store import Store
+
 # Keys that hold lists of records in JSON documents and advisory files.
 CONTAINERS = ["records", "items", "findings", "results", "data", "samples"]
 ADVISORY_WRAPPERS = ["advisories", "vulnerabilities", "vulns", "items", "data"]
@@ -45,47 +48,55 @@ def jsonl(spark: SparkSession, path: str, schema: StructType | str, strict: bool
 
 
 def numbered(df: DataFrame) -> DataFrame:
-    """Rows of files with ``ordinal``: by file, then by the place in the file."""
-    place = df.select("*", F.col("_metadata.file_path").alias("_file"), F.monotonically_increasing_id().alias("_at"))
-    from pyspark.sql import Window
+    """Rows of files with ``source_file`` and ``ordinal``: by file, then by the place in the file.
 
-    per_file = place.withColumn("_in_file", F.row_number().over(Window.partitionBy("_file").orderBy("_at")))
-    return per_file.drop("_at").withColumnsRenamed({"_file": "source_file", "_in_file": "ordinal"})
+    Places are ranked by the blocks in which a file is read, so a large file is not one task.
+    """
+    place = df.select("*", F.col("_metadata.file_path").alias("source_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at"))
+    return rank_within(place, ["source_file"], ["_block", "_at"], F.col("_block"), "ordinal").drop("_block", "_at")
 
 
-def flattened(df: DataFrame, raw: str, keep: list[str], depth: int = 3) -> DataFrame:
+def flattened(df: DataFrame, raw: str, keep: list[str]) -> DataFrame:
     """(keep..., locator, record): the records of JSON documents, each with its place such as ``root.items[3]``.
 
     A list gives its objects; an object with lists of objects under container keys gives those; any other object is a
-    record. Containers may be nested ``depth`` times.
+    record. Containers may be nested to any depth; a table is written for each level.
     """
+    store = Store(df.sparkSession, "flattened")
     level = df.select(*keep, F.lit("root").alias("locator"), F.col(raw).alias("record"))
-    done = None
-    for _ in range(depth):
-        as_list = F.from_json("record", "array<string>")
+    done, depth = None, 0
+    while True:
         is_list = F.col("record").rlike(r"^\s*\[")
         inner = [(k, F.from_json(F.get_json_object("record", f"$.{k}"), "array<string>")) for k in CONTAINERS]
         parts = F.array_compact(
             F.array(
-                F.when(is_list, F.struct(F.lit("").alias("k"), as_list.alias("xs"))),
+                F.when(is_list, F.struct(F.lit("").alias("k"), F.from_json("record", "array<string>").alias("xs"))),
                 *(F.when(~is_list & F.get_json_object("record", f"$.{k}").rlike(r"^\s*\["), F.struct(F.lit(f".{k}").alias("k"), x.alias("xs"))) for k, x in inner),
             )
         )
-        marked = level.withColumn("parts", parts)
+        marked = store.write(level.withColumn("parts", parts), f"level-{depth}")
         leaves = marked.where((F.size("parts") == 0) & F.col("record").rlike(r"^\s*\{")).select(*keep, "locator", "record")
         done = leaves if done is None else done.unionByName(leaves)
         opened = marked.select(*keep, "locator", F.explode("parts").alias("p")).select(*keep, "locator", "p.k", F.posexplode("p.xs").alias("i", "record"))
-        level = opened.select(*keep, F.concat("locator", "k", F.lit("["), F.col("i").cast("string"), F.lit("]")).alias("locator"), "record")
-    return done
+        if opened.isEmpty():
+            return done
+        level, depth = opened.select(*keep, F.concat("locator", "k", F.lit("["), F.col("i").cast("string"), F.lit("]")).alias("locator"), "record"), depth + 1
 
 
 ADVISORY = "id string, aliases array<string>, summary string, details string, withdrawn string, affected array<struct<package:struct<ecosystem:string,name:string>,ranges:array<struct<events:array<struct<fixed:string>>>>>>, references array<struct<type:string,url:string>>, database_specific struct<cwe_ids:array<string>>"
 
 
 def advisories(spark: SparkSession, folder: str) -> DataFrame:
-    """All advisories of a tree of JSON and JSON line files, bare or under a wrapper key; unreadable ones are skipped."""
-    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json*").text(folder, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
-    documents = files.select("path", F.when(F.col("path").endswith(".jsonl"), F.split("value", "\n")).otherwise(F.array("value")).alias("docs")).select("path", F.explode("docs").alias("doc"))
+    """All advisories of a tree of JSON and JSON line files, bare or under a wrapper key; unreadable ones are skipped.
+
+    JSON line files are read by line and may be split; only a ``.json`` file is one value.
+    """
+
+    def read(pattern: str, whole: bool) -> DataFrame:
+        rows = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).text(folder, wholetext=whole)
+        return rows.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("doc"))
+
+    documents = read("*.json", True).unionByName(read("*.{jsonl,ndjson}", False)).where(F.trim("doc") != "")
     lists = [F.from_json(F.get_json_object("doc", f"$.{k}"), "array<string>") for k in ADVISORY_WRAPPERS]
     whole = F.when(F.col("doc").rlike(r"^\s*\["), F.from_json("doc", "array<string>")).otherwise(F.array("doc"))
     records = documents.select("path", F.explode(F.coalesce(*lists, whole)).alias("record"))
@@ -121,15 +132,37 @@ def code_pairs_csv(spark: SparkSession, path: str, strict_header: bool = False)
     )
 
 
-def source_tree(spark: SparkSession, folder: str, suffixes: list[str], excluded: list[str] | None = None) -> DataFrame:
-    """(path, content, text, skipped): files with one of the suffixes; ``skipped`` names why a file has no text."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+def source_tree(spark: SparkSession, folder: str, suffixes: list[str], excluded: list[str] | None = None, included: str | None = None, largest: int = 2_000_000) -> DataFrame:
+    """(path, content, text, skipped): the files of a tree; ``skipped`` names why a file has no text.
+
+    Files in ``excluded`` folders, of other suffixes, outside the ``included`` pattern (``*`` within a name, ``**`` across
+    folders) or larger than ``largest`` are listed and never read: their content is no column of their half of the plan,
+    and the other half is limited to the suffixes and the length by the reader. Binary files are told by a zero byte.
+    """
+
+    def load(pattern: str | None) -> DataFrame:
+        reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+        return (reader.option("pathGlobFilter", pattern) if pattern else reader).load(folder)
+
     suffix = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
     outside = F.lit(False)
     for name in excluded or []:
         outside = outside | F.col("path").contains(f"/{name}/")
-    reason = F.when(outside, "excluded").when(~suffix.isin(suffixes), "suffix").when(F.length("content") > 2_000_000, "too_large").when(F.position(F.lit(b"\0"), F.col("content")) > 0, "binary")
-    return files.dropDuplicates(["path"]).select("path", "content", F.when(reason.isNull(), F.decode("content", "UTF-8")).alias("text"), reason.alias("skipped"))
+    if included:
+        glob = "".join({"**": ".*", "*": "[^/]*", "?": "[^/]"}.get(x, re.escape(x)) for x in re.findall(r"\*\*|.", included))
+        outside = outside | ~F.col("path").rlike(f"/{glob}$")
+    reason = F.when(outside, "excluded").when(~suffix.isin(suffixes), "suffix").when(F.col("length") > largest, "too_large")
+    skipped = load(None).select("path", F.lit(None).cast("binary").alias("content"), F.lit(None).cast("string").alias("text"), reason.alias("skipped")).where(F.col("skipped").isNotNull())
+    any_case = [f"*.{''.join(f'[{c.lower()}{c.upper()}]' if c.isalpha() else c for c in x)}" for x in suffixes]
+    kept = load("{" + ",".join(any_case) + "}").where((F.col("length") <= largest) & ~outside)
+    binary = F.position(F.lit(b"\0"), F.col("content")) > 0
+    kept = kept.select("path", "content", F.when(~binary, F.decode("content", "UTF-8")).alias("text"), F.when(binary, "binary").alias("skipped"))
+    return kept.unionByName(skipped)
+
+
+def skip_counts(files: DataFrame) -> DataFrame:
+    """(skipped, files) of a tree: how many files each reason left out; null is what was read."""
+    return files.groupBy("skipped").agg(F.count("*").alias("files"))
 
 
 def label_files(spark: SparkSession, folder: str, schema: str) -> DataFrame:

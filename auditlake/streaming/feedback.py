@@ -27,25 +27,36 @@ def windowed_counts(stream: DataFrame, time: str, width: str, late: str, *by: st
     return counts.select(F.col("window.start").alias("start"), *by, "n")
 
 
-def run_to_table(stream: DataFrame, mode: str, label: str) -> DataFrame:
-    """Run a stream over what is there now and return what it wrote.
+def run_to_table(stream: DataFrame, mode: str, label: str, run: str | None = None) -> DataFrame:
+    """Run a stream over what is there now and return what it wrote so far.
 
-    ``append`` writes new rows; ``complete`` replaces the table by each batch's whole result. Tables and checkpoint
-    lie in the shared folder, so a restarted driver goes on where it stopped.
+    ``append`` adds new rows; ``complete`` keeps a table for each batch's whole result, of which the last counts. Tables
+    and checkpoint lie in the shared folder under ``run``; with the same name the stream goes on where it stopped and
+    meets only new files. Without a name the run stands alone.
     """
     spark = stream.sparkSession
-    root = f"{shared_dir(spark).rstrip('/')}/auditlake/{label}-{uuid.uuid4().hex}"
+    root = f"{shared_dir(spark).rstrip('/')}/auditlake/{label}-{run or uuid.uuid4().hex}"
     schema = stream.schema
     if mode == "append":
         query = stream.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state").outputMode("append").trigger(availableNow=True).start()
-    else:
+        query.awaitTermination()
+        return spark.read.schema(schema).parquet(f"{root}/out")
 
-        def replace(batch: DataFrame, number: int) -> None:
-            batch.write.mode("overwrite").parquet(f"{root}/out")
+    def replace(batch: DataFrame, number: int) -> None:
+        # a batch that is tried again replaces its own table only
+        batch.write.mode("overwrite").parquet(f"{root}/out/batch={number}")
 
-        query = stream.writeStream.foreachBatch(replace).option("checkpointLocation", f"{root}/state").outputMode(mode).trigger(availableNow=True).start()
+    query = stream.writeStream.foreachBatch(replace).option("checkpointLocation", f"{root}/state").outputMode(mode).trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.schema(schema).parquet(f"{root}/out")
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(f"{root}/out")
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    numbers = sorted(int(x.getPath().getName().partition("=")[2]) for x in fs.listStatus(folder)) if fs.exists(folder) else []
+    if not numbers:
+        return spark.createDataFrame([], schema)
+    for number in numbers[:-1]:
+        fs.delete(jvm.org.apache.hadoop.fs.Path(f"{root}/out/batch={number}"), True)
+    return spark.read.schema(schema).parquet(f"{root}/out/batch={numbers[-1]}")
 
 
 def latest(df: DataFrame, time: str, most: int = 30) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import uuid
 
 import pytest
 from pyspark.sql import functions as F
@@ -109,6 +110,82 @@ def test_stream_windows(spark, tmp_path):
     assert sorted((r["k"], r["n"]) for r in counts.collect()) == [(1, 2), (2, 1)]
 
 
+def test_stream_goes_on_where_it_stopped(spark, tmp_path):
+    source = str(tmp_path / "in")
+    spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string").coalesce(1).write.parquet(source)
+    run = uuid.uuid4().hex
+
+    def all_rows(mode):
+        stream = spark.readStream.schema("k int, v string").parquet(source)
+        rows = stream if mode == "append" else stream.groupBy("v").agg(F.count("*").alias("n"))
+        return sorted(map(tuple, feedback.run_to_table(rows, mode, f"resume-{mode}", run).collect()))
+
+    assert all_rows("append") == [(1, "a"), (2, "b")] and all_rows("complete") == [("a", 1), ("b", 1)]
+    assert all_rows("append") == [(1, "a"), (2, "b")] and all_rows("complete") == [("a", 1), ("b", 1)]
+    spark.createDataFrame([(3, "b")], "k int, v string").write.mode("append").parquet(source)
+    assert all_rows("append") == [(1, "a"), (2, "b"), (3, "b")] and all_rows("complete") == [("a", 1), ("b", 2)]
+
+
+def test_numbers_of_rows_across_blocks_of_a_file(spark, tmp_path):
+    (tmp_path / "n").mkdir()
+    (tmp_path / "n/a.txt").write_text("".join(f"{i:05d}\n" for i in range(3000)))
+    (tmp_path / "n/b.txt").write_text("x\ny\n")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    try:
+        rows = records.numbered(spark.read.text(str(tmp_path / "n"))).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    a = sorted((r["ordinal"], r["value"]) for r in rows if r["source_file"].endswith("a.txt"))
+    assert a == [(i + 1, f"{i:05d}") for i in range(3000)]
+    assert sorted((r["ordinal"], r["value"]) for r in rows if r["source_file"].endswith("b.txt")) == [(1, "x"), (2, "y")]
+
+
+def test_tree_limits_and_counts(spark, tmp_path):
+    for name, size in (("src/a.py", 3), ("src/B.PY", 3), ("src/big.py", 50), ("lib/c.py", 3)):
+        (tmp_path / "t" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "t" / name).write_text("x" * size)
+    tree = records.source_tree(spark, str(tmp_path / "t"), ["py"], included="src/*", largest=10)
+    got = {os.path.basename(r["path"]): (r["text"], r["skipped"]) for r in tree.collect()}
+    assert got == {"a.py": ("xxx", None), "B.PY": ("xxx", None), "big.py": (None, "too_large"), "c.py": (None, "excluded")}
+    assert {r["skipped"]: r["files"] for r in records.skip_counts(tree).collect()} == {None: 2, "too_large": 1, "excluded": 1}
+
+
+def test_deep_containers(spark):
+    doc = '{"x": 1}'
+    for _ in range(7):
+        doc = f'{{"items": [{doc}]}}'
+    df = spark.createDataFrame([(doc,)], "raw string")
+    assert [r["locator"] for r in records.flattened(df, "raw", []).collect()] == ["root" + ".items[0]" * 7]
+    assert records.flattened(df.limit(0), "raw", []).count() == 0
+
+
+def test_replacing_keeps_the_old_files_if_it_fails(spark, tmp_path):
+    path = str(tmp_path / "r")
+    sinks.write_csv(spark.range(3), path)
+    with pytest.raises(Exception, match="no more"):
+        sinks.write_csv(spark.range(3).select(F.raise_error(F.lit("no more")).cast("int").alias("id")), path)
+    assert spark.read.option("header", "true").csv(path).count() == 3
+    assert sorted(os.listdir(tmp_path)) == ["r"]
+
+
+def test_partitioned_rows_move_and_go(spark, tmp_path):
+    path, schema = str(tmp_path / "v"), "id int, verdict string, note string"
+    sinks.write_partitioned(spark.createDataFrame([(1, "confirm", "a"), (2, "confirm", "b"), (3, "reject", "c")], schema), path, "verdict")
+    sinks.update_partitioned(spark, path, schema, spark.createDataFrame([(1, "reject", "a2"), (2, None, None), (4, "confirm", "d")], schema), "id", "verdict")
+    assert sorted(map(tuple, spark.read.schema(schema).json(path).select("id", "verdict", "note").collect())) == [(1, "reject", "a2"), (3, "reject", "c"), (4, "confirm", "d")]
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
+def test_queries_without_sql_run_to_the_end(spark):
+    from auditlake import catalog
+
+    for name in sorted(set(catalog.queries()) - set(catalog.oracle_sql())):
+        df = catalog.queries()[name](spark, DATA)
+        assert len(set(df.columns)) == len(df.columns), name
+        df.write.format("noop").mode("overwrite").save()
+
+
 def test_contract(spark):
     queries, sql = __spark_entry__.queries(), __spark_entry__.oracle_sql()
     assert set(sql) <= set(queries) and len(queries) > 80

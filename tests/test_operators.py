@@ -129,7 +129,7 @@ def test_windows(spark):
 
 def test_enclosing_picks(spark):
     points = spark.createDataFrame([("f", 5), ("f", 99)], "f string, at int")
-    ranges = spark.createDataFrame([("f", "outer", 1, 20, 2), ("f", "inner", 4, 8, 1), ("f", "other", 30, 40, 0)], "f string, name string, start int, end int, ordinal int")
+    ranges = spark.createDataFrame([("f", "outer", 1, 20, 2), ("f", "inner", 4, 8, 1), ("f", "other", 30, 40, 0)], "f string, name string, start int, end int, position int")
     for pick, name in (("outermost", "outer"), ("innermost", "inner"), ("first", "inner")):
         assert [(r["at"], r["name"]) for r in relational.enclosing(points, ranges, "f", "at", "start", "end", pick).collect()] == [(5, name)]
 
