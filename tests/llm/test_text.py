@@ -7,6 +7,7 @@ import random
 import re
 from functools import reduce
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -52,15 +53,15 @@ def test_regular_expressions_that_look_like_strings_or_comments():
     good = ["const a = x.replace(/`/g, '');\n", "const r = /\\/*/.test(s);\nf();\n", "const r = /[/*]/.test(s);\n"]
     for text in good:
         summary = syntax.summarise(text, "javascript")
-        assert summary[""][0] in ("`", "/*") and syntax.parses(text, "javascript") and syntax.parses(text, "javascript", summary)
+        assert summary[""][0] in ("`", "/*") and syntax.parses(text, "javascript")
     for language, text in [("javascript", "/* open\n f()"), ("javascript", "f(`abc"), ("java", "class A { } /* open"), ("go", "package a\nvar x = `abc\n"), ("python", 'x = """abc')]:
-        assert not syntax.parses(text, language) and not syntax.parses(text, language, syntax.summarise(text, language))
+        assert not syntax.parses(text, language) and not syntax.balanced(syntax.summarise(text, language))
 
 
 def test_summaries_combine_like_the_whole():
     texts = {"python": 'a = """x\n(\n"""\nb = [\n(1, # )\n2),\n]\n', "javascript": "/* (\n{ */ f(`a\n(`,\n[1,\n2]);\n", "java": 'class A { /*\n} */ String s = """\n{ "\n"""; }\n', "go": "package a\nvar x = `(\n[`\nfunc f() {\n}\n", "json": '{"a":\n[1,\n{"b": "]"}]}\n'}
     for language, text in texts.items():
-        parts = [syntax.summarise(c, language) for c in syntax.chunks(text, 1)]
+        parts = [syntax.summarise(c, language) for c in syntax.chunks(text, language, 1)]
         assert len(parts) > 2
         whole = syntax.summarise(text, language)
         assert reduce(syntax.combine, parts)[""] == whole[""] and syntax.balanced(whole)
@@ -83,6 +84,50 @@ def _chat(*turns):
     return [(r, c) for r, c in turns]
 
 
+def _by_parts(code, language, size):
+    """(whether the chunks could be placed, whether all parts parse) as long files are read."""
+    pieces = pd.DataFrame([{"row": 1, "lang": language, "at": i, "chunk": c} for i, c in enumerate(syntax.chunks(code, language, size))])
+    placed = syntax._placed(next(syntax._summaries(iter([pieces]))))
+    if not len(placed):
+        return False, False
+    parts = pd.concat(syntax._parts(iter([pieces.merge(placed, on=["row", "at"])]))).sort_values(["at", "k"])
+    parts["part"] = (parts["k"] > 0).cumsum()
+    parts["parts"] = parts["part"].max() + 1
+    return True, all(syntax._statements(g)["ok"].iloc[0] for _, g in parts.groupby("part"))
+
+
+def test_parts_of_long_files_parse_like_the_whole(monkeypatch):
+    monkeypatch.setattr(syntax, "PART", 1)
+    good = {
+        "python": 'import os\n\n@wrap\n@other(1)\ndef f(a,\n      b):\n    """text\ndef not_here(): pass\n"""\n    return a\n\nif os:\n    x = 1\n# note\nelse:\n    x = 2\ny = 1 + \\\n  2\nz = [\n1,\n2]\n',
+        "javascript": "import a from 'b';\nconst t = `x\nfunction no() {`;\nfunction f(a) {\n  return {b: [a]};\n}\nclass C {\n  m() { return 1; }\n}\nlet y = 2;\n",
+        "java": "package p;\nimport q.R;\n/* class no\npublic class X { */\npublic class A {\n  int f() { return 1; }\n}\nfinal class B {\n}\n",
+        "go": 'package p\n\nimport "fmt"\n\nvar x = 1\n\nfunc f() int {\n\treturn x\n}\n\ntype T struct {\n\tA int\n}\n',
+        "json": '{"a": [1, {"b": "c,]\\\\\\" d"}], "e": {}, "f": [[], null]}',
+    }
+    for language, text in good.items():
+        assert syntax.parses(text, language), language
+        for size in (1, 7, 30, 1000):
+            assert _by_parts(text, language, size) == (True, True), (language, size)
+        for at in range(0, len(text) - 1, 7):
+            broken = text[:at] + "]" + text[at:]
+            if not syntax.parses(broken, language):
+                assert not _by_parts(broken, language, 20)[1], (language, at)
+    assert _by_parts("[]", "json", 1) == (True, True) and not _by_parts("[1,]", "json", 1)[1] and not _by_parts("[,]", "json", 1)[1]
+
+
+def test_long_and_deep_files(spark):
+    one = "".join(f"def f{i}(a):\n    return [a, '{i}', {{}}]\n\n" for i in range(40_000))
+    assert len(one) > syntax.CHUNK
+    deep = "[" * 100_000
+    rows = [(1, one, "python"), (1, one + "def broken(:\n    pass\n", "python"), (None, one + "x = 1\n", "python"), (None, "x = '''" + one, "python")]
+    rows += [(2, "[" + ",".join(f'{{"a": {i}}}' for i in range(120_000)) + "]", "json"), (3, "[" + "1," * 600_000 + "1", "json")]
+    rows += [(4, deep + "]" * 100_000, "json"), (5, deep, "json"), (6, deep + "1,]" + "]" * 99_999, "json")]
+    df = spark.createDataFrame(rows, "id int, code string, lang string")
+    got = sorted((str(r["id"]), r["broken"]) for r in syntax.verdicts(df, "id", {"code": (F.col("code"), F.col("lang"))}).collect())
+    assert got == sorted([("1", False), ("1", True), ("None", False), ("None", True), ("2", False), ("3", True), ("4", False), ("5", True), ("6", True)])
+
+
 def test_defects(spark):
     q = "How should I store the salt in acme-kit 4.1?"
     good = "The salt of acme-kit 4.1 is stored beside the hash, i.e. in plain text."
