@@ -54,10 +54,14 @@ def two_level_agg(df: DataFrame, key: str, spread: str, partial: list[Column], f
 def spread(df: DataFrame, by: str) -> DataFrame:
     """The rows of a scan over all cores, where its files have fewer splits than that; else as they are.
 
-    For work that costs far more than moving its rows. A table of many splits, as on a cluster, is never shuffled.
+    For work that costs far more than moving its rows. A table of many splits, as on a cluster, is never shuffled, nor
+    is anything but a scan: what has an exchange of its own is planned adaptively and would run to be counted.
     """
+    execution = df._jdf.queryExecution()
+    if execution.executedPlan().nodeName().startswith("AdaptiveSparkPlan"):
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
-    splits = df._jdf.queryExecution().toRdd().getNumPartitions()
+    splits = execution.toRdd().getNumPartitions()
     return df if splits >= cores else df.repartition(cores, by)
 
 
