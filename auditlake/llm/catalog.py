@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auditlake.llm import bpe, broken_pairs, consolidate, format_duplicates, grouped_splits, leakage, sentences, split_overlap, survivor, syntax
+from auditlake.plans.skew import spread
 from auditlake.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,7 +32,7 @@ def p1_splits(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _split_rows(spark: SparkSession, folder: str) -> DataFrame:
-    new = table(spark, folder, "new_detect").select("ordinal", "code", "source", grouped_splits.split_key(F.col("split")).alias("part"), F.lit(False).alias("held"))
+    new = spread(table(spark, folder, "new_detect").select("ordinal", "code", "source", "split"), "ordinal").select("ordinal", "code", "source", grouped_splits.split_key(F.col("split")).alias("part"), F.lit(False).alias("held"))
     held = table(spark, folder, "detect_eval").select("ordinal", "code", "source", grouped_splits.split_key(F.col("split")).alias("part"), F.lit(True).alias("held"))
     return new.unionByName(held)
 
@@ -59,7 +60,7 @@ def p2_report(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _forms(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "new_detect").select("ordinal", "code").unionByName(table(spark, folder, "new_triage").select("ordinal", "code"))
+    return spread(table(spark, folder, "new_detect").select("ordinal", "code"), "ordinal").unionByName(table(spark, folder, "new_triage").select("ordinal", "code"))
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -116,8 +117,8 @@ def p5_by_record(spark: SparkSession, folder: str) -> DataFrame:
 def _verdicts(spark: SparkSession, folder: str) -> DataFrame:
     new, old = table(spark, folder, "new_detect"), table(spark, folder, "candidates")
     path = syntax.language_of_path(F.col("file_path"))
-    detect = syntax.verdicts(new.select("ordinal", "code", "lang"), "ordinal", {"code": (F.col("code"), syntax.language_of(F.col("lang")))})
-    pairs = syntax.verdicts(old.select("ordinal", "code_vuln", "code_fixed", "file_path"), "ordinal", {c: (F.col(c), path) for c in ("code_vuln", "code_fixed")})
+    detect = syntax.verdicts(spread(new.select("ordinal", "code", "lang"), "ordinal"), "ordinal", {"code": (F.col("code"), syntax.language_of(F.col("lang")))})
+    pairs = syntax.verdicts(spread(old.select("ordinal", "code_vuln", "code_fixed", "file_path"), "ordinal"), "ordinal", {c: (F.col(c), path) for c in ("code_vuln", "code_fixed")})
     return detect.unionByName(pairs)
 
 
@@ -136,24 +137,24 @@ def p6_rates(spark: SparkSession, folder: str) -> DataFrame:
 
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     """Defective question-answer pairs with the type of their defect."""
-    return broken_pairs.defects(table(spark, folder, "trainingdata"), "conv_id", "messages")
+    return broken_pairs.defects(spread(table(spark, folder, "trainingdata").select("conv_id", "messages"), "conv_id"), "conv_id", "messages")
 
 
 def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
     """Every document with the ids of its text by the byte-level BPE vocabulary."""
     tokenizers = spark.conf.get("spark.auditlake.tokenizers", "/opt/tokenizers")
-    return bpe.encode(table(spark, folder, "documents"), "doc_id", "text", f"{tokenizers}/byte_bpe_50k.json")
+    return bpe.encode(spread(table(spark, folder, "documents").select("doc_id", "text"), "doc_id"), "doc_id", "text", f"{tokenizers}/byte_bpe_50k.json")
 
 
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     """Documents with the held-out items of which they contain a passage."""
-    return leakage.leaks(table(spark, folder, "documents"), "doc_id", "text", table(spark, folder, "benchmark_items"), "item_id", "text", "lang")
+    return leakage.leaks(spread(table(spark, folder, "documents").select("doc_id", "text"), "doc_id"), "doc_id", "text", table(spark, folder, "benchmark_items"), "item_id", "text", "lang")
 
 
 def p10_found(spark: SparkSession, folder: str) -> DataFrame:
     """The sentences of all documents that aren't program text."""
     docs = table(spark, folder, "documents").where(~F.col("kind").eqNullSafe("source"))
-    return sentences.sentences(docs, "doc_id", "text")
+    return sentences.sentences(spread(docs.select("doc_id", "text"), "doc_id"), "doc_id", "text")
 
 
 def queries() -> dict[str, Query]:
