@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 #: A key is hot if it holds at least one part in HOT_PARTS of all rows, so there are at most HOT_PARTS hot keys.
 HOT_PARTS = 1000
-#: Keys with fewer rows than this are never worth a second aggregation level.
-HOT_FLOOR = 10_000
+#: A key with a single row is never hot.
+HOT_FLOOR = 2
 #: Buckets of the first, coarse count; far more than HOT_PARTS, so nearly every bucket is ruled out at once.
 BUCKETS = 1 << 16
 
