@@ -31,6 +31,12 @@ def p1_splits(spark: SparkSession, folder: str) -> DataFrame:
     return grouped_splits.grouped_splits(rows, "ordinal", entities, table(spark, folder, "split_targets"))
 
 
+def p1_forest(spark: SparkSession, folder: str) -> DataFrame:
+    """The spanning forest over the spellings and keys of repositories."""
+    rows, entities = _repositories(spark, folder)
+    return grouped_splits.spanning_forest(rows, "ordinal", entities)
+
+
 def _split_rows(spark: SparkSession, folder: str) -> DataFrame:
     new = spread(table(spark, folder, "new_detect").select("ordinal", "code", "source", "split"), "ordinal").select("ordinal", "code", "source", grouped_splits.split_key(F.col("split")).alias("part"), F.lit(False).alias("held"))
     held = table(spark, folder, "detect_eval").select("ordinal", "code", "source", grouped_splits.split_key(F.col("split")).alias("part"), F.lit(True).alias("held"))

@@ -87,9 +87,12 @@ def _contract(edges: DataFrame, store: Store) -> tuple[DataFrame, DataFrame]:
     return roots, store.write(whole, "forest")
 
 
-def entity_groups(df: DataFrame, identifier: Column, entities: dict[str, tuple[Column, Column]], store: Store) -> tuple[DataFrame, DataFrame]:
+def entity_groups(df: DataFrame, identifier: Column, entities: dict[str, tuple[Column, Column]], store: Store, prior: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Records with the root of their group, (id, root, key), and the spanning forest as (u, v, weight).
 
+    ``prior`` is the forest of an earlier run, (u, v, weight) of the same types: its edges count too, so that new
+    records join the groups they had then without reading the old ones again.
+
     ``entities`` gives each kind of entity by its raw spelling and its key. Vertices are ``kind:key`` and, apart from
     it, every spelling; an edge links a spelling to its key, and the keys of different kinds that one record names.
     Its weight is the smallest identifier that shows the link. A record that names no entity is a group of its own,
@@ -103,7 +106,7 @@ def entity_groups(df: DataFrame, identifier: Column, entities: dict[str, tuple[C
     chain = F.transform(F.sequence(F.lit(1), F.size("keys") - 1), lambda i: F.struct(F.col("keys")[0].alias("u"), F.get("keys", i).alias("v")))
     links = F.when(F.size("keys") > 1, F.concat(pairs, chain)).otherwise(pairs)
     edges = rows.where(F.size("keys") > 0).select("id", F.explode(links).alias("e")).groupBy("e.u", "e.v").agg(F.min("id").alias("weight"))
-    roots, forest = _contract(edges, store)
+    roots, forest = _contract(edges if prior is None else edges.unionByName(prior), store)
     # a spelling appears once for each kind, so this side has one row a spelling; a hot one is split by the skew join
     named = rows.where(F.size("keys") > 0).select("id", F.col("raws")[0].alias("vertex"), "key")
     known = named.join(roots, "vertex").select("id", "root", "key")
@@ -180,6 +183,15 @@ def grouped_splits(df: DataFrame, id_col: str, entities: dict[str, tuple[Column,
     return records.join(splits.select("root", "split"), "root").select(F.col("id").alias(id_col), F.col("split").alias("new_split"))
 
 
+def spanning_forest(df: DataFrame, id_col: str, entities: dict[str, tuple[Column, Column]], path: str | None = None, prior: DataFrame | None = None) -> DataFrame:
+    """(u, v, weight): the forest over spellings and keys; with ``path`` it is kept there for later runs to extend."""
+    _, forest = entity_groups(df, F.col(id_col), entities, Store(df.sparkSession, "forest"), prior)
+    if path:
+        forest.write.mode("errorifexists").parquet(path)
+        forest = df.sparkSession.read.parquet(path)
+    return forest
+
+
 def divided_groups(df: DataFrame, id_col: str, entities: dict[str, tuple[Column, Column]], split: Column) -> DataFrame:
     """(key): groups whose records, as delivered, lie in more than one split.
 

@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 
 #: Documents whose reliable boundaries train the classifier: at most so many, drawn by the hash of their identifier.
 TRAINING_DOCUMENTS = 6000
+#: Kinds of cases (words around a full stop and its nature) that reach the driver, the most frequent ones.
+TRAINING_KINDS = 200_000
 #: Weights of the classifier, and passes over its training cases.
 WEIGHTS, PASSES = 1 << 15, 60
 
@@ -264,14 +266,19 @@ def reliable(text: str) -> Iterator[tuple[str, str, bool]]:
 
 def train(cases: list[tuple[str, str, bool]]) -> np.ndarray:
     """The weights of a maximum-entropy classifier of full stops; without cases, only lower case is no boundary."""
-    weights = np.zeros(WEIGHTS)
-    if not cases:
-        return weights
-    kinds: dict[tuple, int] = {}
+    kinds: dict[tuple[str, str, bool], int] = {}
     for before, after, ends in cases:
         follow = _WORD_AFTER.match(after)
         key = (before, follow[0] if follow else "", ends)
         kinds[key] = kinds.get(key, 0) + 1
+    return train_kinds(kinds)
+
+
+def train_kinds(kinds: dict[tuple[str, str, bool], int]) -> np.ndarray:
+    """The weights from the kinds of cases and their numbers."""
+    weights = np.zeros(WEIGHTS)
+    if not kinds:
+        return weights
     x = np.array([_features(b, a) for b, a, _ in kinds], np.int64)
     y = np.array([float(k[2]) for k in kinds])
     n = np.array(list(kinds.values()), float)
@@ -342,7 +349,10 @@ class Splitter:
 
 
 def fit(docs: DataFrame, id_col: str, text_col: str) -> np.ndarray:
-    """Weights from the reliable boundaries of at most TRAINING_DOCUMENTS documents, spread over the corpus."""
+    """Weights from the reliable boundaries of at most TRAINING_DOCUMENTS documents, spread over the corpus.
+
+    Equal cases are counted before they are collected, and at most TRAINING_KINDS kinds are.
+    """
     rows = docs.where(F.length(text_col) > 0).select(F.col(id_col).cast("string").alias("i"), F.col(text_col).alias("t"))
     total = rows.count()
     steps = 1_000_000
@@ -355,7 +365,8 @@ def fit(docs: DataFrame, id_col: str, text_col: str) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.bool_()), strict=True)], names=["b", "a", "e"])
 
     sample = part.limit(TRAINING_DOCUMENTS).select("t").mapInArrow(cases, "b string, a string, e boolean")
-    return train(sorted((r["b"], r["a"], r["e"]) for r in sample.toLocalIterator()))
+    counted = sample.groupBy("b", "a", "e").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "b", "a", "e").limit(TRAINING_KINDS)
+    return train_kinds(dict(sorted(((r["b"], r["a"], r["e"]), r["n"]) for r in counted.toLocalIterator())))
 
 
 def sentences(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

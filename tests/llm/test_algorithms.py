@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import random
 import re
 from collections import Counter, defaultdict
@@ -283,3 +284,45 @@ def test_chunks_cut_by_content_and_give_overlap_fractions(spark):
     known = {d for t in base for d, _ in split_overlap.chunks(t)}
     want = {i: (sum(n for _, n in split_overlap.chunks(t)), sum(n for d, n in split_overlap.chunks(t) if d in known)) for i, t, _, e in rows if e and t}
     assert got == want and got[100][0] == got[100][1] and 0 < got[101][1] < got[101][0] and got[102][1] == 0
+
+
+def test_forest_is_kept_and_extended(spark, tmp_path):
+    key = (F.col("u"), grouped_splits.repo_key(F.col("u")))
+    old = spark.createDataFrame([(1, "https://h/a/b"), (2, "h/A/b.git"), (3, "h/c/d")], "id long, u string")
+    forest = grouped_splits.spanning_forest(old, "id", {"repo": key}, str(tmp_path / "forest"))
+    # three spellings, each joined to its key
+    assert forest.count() == 3 and {x["u"].partition("~")[0] for x in forest.collect()} <= {"repo", "repo:h/a/b", "repo:h/c/d"}
+    new = spark.createDataFrame([(9, "HTTPS://h/a/B/"), (10, "h/e/f")], "id long, u string")
+    grown = grouped_splits.spanning_forest(new, "id", {"repo": key}, prior=spark.read.parquet(str(tmp_path / "forest")))
+    assert grown.count() == 5
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables")
+def test_shares_of_the_tables(spark):
+    from auditlake.llm import catalog
+
+    rows = catalog.p1_splits(spark, "/root/testdata/sf0.01").groupBy("new_split").count().collect()
+    total = sum(r["count"] for r in rows)
+    got = {r["new_split"]: r["count"] / total for r in rows}
+    wanted = {r["split"]: r["share"] for r in spark.read.parquet("/root/testdata/sf0.01/split_targets.parquet").collect()}
+    assert got.keys() == wanted.keys() and all(abs(got[s] - wanted[s]) < 0.02 for s in got)
+
+
+def test_copies_of_a_hot_form_take_two_levels(spark):
+    from auditlake.plans.skew import hot_keys
+
+    rows = spark.range(30_000).select("id", F.when(F.col("id") % 3 == 0, F.lit("Hot  Code(1);")).otherwise(F.concat(F.lit("x"), F.col("id").cast("string"))).alias("code"))
+    keyed = rows.select(format_duplicates.canonical_key(F.col("code")).alias("k"))
+    assert [r["hot_rows"] for r in hot_keys(keyed, "k").collect()] == [10_000]
+    got = {r["id"]: r["copies"] for r in format_duplicates.collapse(rows, "id", "code").collect()}
+    assert got[0] == 10_000 and len(got) == 20_001 and set(got.values()) == {1, 10_000}
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
+def test_every_query_runs_over_the_tables(spark):
+    from auditlake.llm import catalog
+
+    for name, query in catalog.queries().items():
+        df = query(spark, "/root/testdata/sf0.001")
+        assert len(set(df.columns)) == len(df.columns), name
+        df.write.format("noop").mode("overwrite").save()
