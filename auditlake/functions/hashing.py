@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from auditlake.functions.text import collapsed
@@ -52,3 +52,8 @@ def split_of_bucket(bucket: Column) -> Column:
 def sample_value(key: Column, seed: str) -> Column:
     """A number in [0, 1) from seed and key; a row is sampled if it is below the rate."""
     return _first_64_bits(F.concat(F.lit(f"{seed}:"), key)).cast("double") / F.lit(float(1 << 64))
+
+
+def first_by_hash(df: DataFrame, key: str, seed: str, n: int) -> DataFrame:
+    """The ``n`` rows whose seeded digest of ``key`` is smallest: a sample of fixed size that any run repeats."""
+    return df.orderBy(F.sha2(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")), 256), key).limit(n)

@@ -149,3 +149,9 @@ def confidence(value: Column) -> Column:
     low = F.lower(F.trim(value))
     number = low.try_cast("double")
     return F.when(low == "low", 0.3).when(low == "medium", 0.6).when(low == "high", 0.9).otherwise(F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), number)), F.lit(0.5)))
+
+
+def utc_seconds(time: Column | None = None) -> Column:
+    """A time, now by default, as ISO 8601 in UTC with whole seconds."""
+    at = F.current_timestamp() if time is None else time
+    return F.date_format(F.to_utc_timestamp(at, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'+00:00'")

@@ -9,9 +9,20 @@ from auditlake.functions.text import cwe, lines, path_kind
 from auditlake.operators.dataset import TARGET_CWES
 
 # Package lists, rule hints, and the words of crypto code.
-WATCHLIST = "cryptography pycryptodome pycryptodomex pyjwt python-jose paramiko requests urllib3 django passlib python-rsa rsa itsdangerous pyopenssl ecdsa pynacl argon2-cffi bcrypt scrypt authlib josepy certifi tornado aiohttp flask werkzeug oauthlib fido2".split()
-CORE_PACKAGES = "authlib bcrypt cryptography ecdsa itsdangerous josepy jwt keyring m2crypto nacl oauthlib oscrypto paramiko passlib pycryptodome pycryptodomex pyjwt pynacl pyopenssl python-jose python-rsa rsa scrypt simple-crypt tornado webauthn xmlsec".split()
-SECONDARY_PACKAGES = "aiohttp asyncssh certifi django fastapi flask httplib2 httpx paramiko pycurl requests starlette twisted urllib3 werkzeug".split()
+WATCHLIST = [
+    "cryptography", "pycryptodome", "pycryptodomex", "pyjwt", "python-jose", "paramiko", "requests", "urllib3", "django", "passlib", "python-rsa",
+    "rsa", "itsdangerous", "pyopenssl", "ecdsa", "pynacl", "argon2-cffi", "bcrypt", "scrypt", "authlib", "josepy", "certifi", "tornado", "aiohttp",
+    "flask", "werkzeug", "oauthlib", "fido2",
+]
+CORE_PACKAGES = [
+    "authlib", "bcrypt", "cryptography", "ecdsa", "itsdangerous", "josepy", "jwt", "keyring", "m2crypto", "nacl", "oauthlib", "oscrypto", "paramiko",
+    "passlib", "pycryptodome", "pycryptodomex", "pyjwt", "pynacl", "pyopenssl", "python-jose", "python-rsa", "rsa", "scrypt", "simple-crypt",
+    "tornado", "webauthn", "xmlsec",
+]
+SECONDARY_PACKAGES = [
+    "aiohttp", "asyncssh", "certifi", "django", "fastapi", "flask", "httplib2", "httpx", "paramiko", "pycurl", "requests", "starlette", "twisted",
+    "urllib3", "werkzeug",
+]
 RULE_HINT = {
     "CWE-329": "CRYPTO-006",
     "CWE-321": "CRYPTO-007",
@@ -138,8 +149,13 @@ def csv_outcomes(df: DataFrame, cwes: Column) -> DataFrame:
 
 
 # Folders that hold no implementation, and words of crypto files.
-NON_IMPLEMENTATION = "test tests testing testdata fixtures fixture examples example docs doc benchmarks benchmark samples sample".split()
-PATH_TERMS = "crypt cipher hash key token sign secret ssl tls jwt rsa auth password random cert".split()
+NON_IMPLEMENTATION = [
+    "test", "tests", "testing", "testdata", "fixtures", "fixture", "examples", "example", "docs", "doc", "benchmarks", "benchmark", "samples",
+    "sample",
+]
+PATH_TERMS = [
+    "crypt", "cipher", "hash", "key", "token", "sign", "secret", "ssl", "tls", "jwt", "rsa", "auth", "password", "random", "cert",
+]
 
 
 def file_score(path: Column, patch: Column, package: Column) -> Column:

@@ -77,8 +77,12 @@ def greedy_two_keys(df: DataFrame, ordinal: str, first: str, second: str) -> Dat
     return df.join(whole.select(F.col("o").alias(ordinal)), ordinal, "left_semi")
 
 
-def zip_entries(df: DataFrame, path: str = "path", content: str = "content", most_entries: int = 400, most_bytes: int = 2_000_000) -> DataFrame:
-    """(path, entry, bytes, skipped): the entries of zip archives; ``skipped`` says why one has no bytes."""
+def zip_entries(df: DataFrame, path: str = "path", content: str = "content", most_entries: int = 400, most_bytes: int = 2_000_000, most_files: int = 60, most_total: int = 20_000_000) -> DataFrame:
+    """(path, entry, bytes, skipped): the entries of zip archives; ``skipped`` says why one has no bytes.
+
+    Of each archive at most ``most_entries`` entries are looked at, and at most ``most_files`` of at most ``most_total``
+    bytes together are read; these limits guard against archives that blow up.
+    """
     import io
     import zipfile
 
@@ -91,14 +95,17 @@ def zip_entries(df: DataFrame, path: str = "path", content: str = "content", mos
                 except zipfile.BadZipFile:
                     yield pd.DataFrame([(row[0], "", None, "not_a_zip")], columns=["path", "entry", "bytes", "skipped"])
                     continue
+                files = total = 0
                 for i, info in enumerate(archive.infolist()):
                     if info.is_dir():
                         continue
                     parts = info.filename.replace("\\", "/").split("/")
-                    why = "too_many" if i >= most_entries else "outside" if info.filename.startswith("/") or ".." in parts else "too_large" if info.file_size > most_bytes else None
+                    why = "too_many" if i >= most_entries else "outside" if info.filename.startswith("/") or ".." in parts else "too_large" if info.file_size > most_bytes else "too_many_files" if files >= most_files else "too_much" if total + info.file_size > most_total else None
                     data = None if why else archive.read(info)
                     if data is not None and b"\0" in data:
                         data, why = None, "binary"
+                    if data is not None:
+                        files, total = files + 1, total + len(data)
                     out.append((row[0], info.filename, data, why))
                 yield pd.DataFrame(out, columns=["path", "entry", "bytes", "skipped"])
 

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from auditlake.functions.text import lines
 from auditlake.plans.skew import spread
 
-# The rules, what they mean, and their patterns.
+# The rules, what they mean, and their patterns. The engine that checks them by SQL has no look-around, so
+# the password rule and the comparison signal spell out what may follow; they match the same lines.
 SEVERITIES = ["INFO", "LOW", "MEDIUM", "HIGH", "CRITICAL"]
 WEIGHTS = {"CRITICAL": 40, "HIGH": 25, "MEDIUM": 12, "LOW": 5, "INFO": 1}
 RULES = {

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from auditlake.functions.text import collapsed, cwe, lines, path_kind
+from auditlake.functions.text import bounded, collapsed, cwe, lines, path_kind
 from auditlake.operators import candidates, scan
 from auditlake.operators.candidates import first_failing
 from auditlake.operators.dataset import RULE_CWE, TARGET_CWES
@@ -298,3 +298,10 @@ def tiers(df: DataFrame, key: str, hits: Column, test: Column, predicted: Column
     positives = rows.where("positive").select(F.col("own").alias("other")).distinct()
     negatives = rows.where("mirrored").join(positives, "other", "left_anti").select(key, F.lit("negative").alias("tier"))
     return rows.where(F.col("tier").isNotNull()).select(key, "tier").unionByName(negatives)
+
+
+def audit_prompt(evidence: list[str], vulnerable: Column, fixed: Column, longest: int = 50_000) -> Column:
+    """The text of an audit request: the evidence as JSON, nulls as empty texts, and both sides of the code, bounded."""
+    fields = F.to_json(F.struct(*(F.coalesce(F.col(c), F.lit("")).alias(c) for c in evidence)))
+    fence = lambda c: F.concat(F.lit("```python\n"), bounded(F.coalesce(c, F.lit("")), longest), F.lit("\n```"))
+    return F.concat(F.lit("Audit this candidate.\n\nCandidate metadata:\n"), fields, F.lit("\n\nVulnerable-side code:\n"), fence(vulnerable), F.lit("\n\nFixed-side code:\n"), fence(fixed))

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from auditlake.catalog import query
-from auditlake.functions import text
-from auditlake.operators import candidates, metrics, scan, screening, source_ast, tree_rules
+from auditlake.functions import hashing, text
+from auditlake.operators import candidates, fixtures, metrics, scan, screening, source_ast, tree_rules
 from auditlake.queries.audits import _RANK_SQL, _RULES_SQL, _TRIAGE_SQL, _detect_sql, _findings, _findings_sql, _LLM_SQL, _metrics_sql, _python_records
 from auditlake.queries.candidates import _KIND, _NORMAL, _RESOLVED, _SCORE
 from auditlake.queries.sql import LINE_END, collapsed, empty, no_space, quoted
@@ -441,3 +441,46 @@ def candidate_diffs(spark: SparkSession, d: str) -> DataFrame:
     """The unified diff of the two sides of each candidate that has both."""
     rows = _candidates(spark, d).where(screening.has_code_pair())
     return rows.select("ordinal", source_ast.unified_diff(F.col("code_vuln"), F.col("code_fixed")).alias("diff"))
+
+
+_FIRES = "CASE rule WHEN 'CRYPTO-008' THEN regexp_matches(regexp_extract(code, '^\\s*([A-Za-z_][A-Za-z0-9_]*)\\s*=\\s*random\\.(\\w+)\\s*\\(', 2), '^(random|randint|randrange|choice|sample|uniform|gauss|triangular|getrandbits|shuffle)$') AND regexp_matches(regexp_extract(code, '^\\s*([A-Za-z_][A-Za-z0-9_]*)\\s*=\\s*random\\.(\\w+)\\s*\\(', 1), '(?i)(key|iv|token|salt|nonce|secret|password)') " + " ".join(f"WHEN '{r}' THEN regexp_matches(code, {quoted(p)})" for r, p in fixtures.FIRES.items()) + " ELSE false END"
+_MITIGATED = "CASE rule " + " ".join(f"WHEN '{r}' THEN regexp_matches(code, {quoted(p)})" for r, p in fixtures.MITIGATED.items()) + " ELSE false END"
+_HARMLESS = "CASE " + " ".join(f"WHEN regexp_matches(code, {quoted(p)}) THEN '{n}'" for n, p in fixtures.HARMLESS) + " ELSE 'other' END"
+
+
+@query("fixture_gates", f"SELECT ordinal, CASE WHEN coalesce({_FIRES}, false) THEN 'positive' WHEN coalesce({_MITIGATED}, false) THEN 'negative' ELSE 'none' END AS gate, CASE WHEN rule IN ('CRYPTO-001', 'CRYPTO-002', 'CRYPTO-003', 'CRYPTO-004', 'CRYPTO-005', 'CRYPTO-008', 'CRYPTO-009', 'CRYPTO-010') THEN {_HARMLESS} END AS reason FROM new_detect")
+def fixture_gates(spark: SparkSession, d: str) -> DataFrame:
+    """Whether each record may show its rule or its mitigation, and why a finding on it would be rejected."""
+    rule, code = F.col("rule"), F.col("code")
+    return table(spark, d, "new_detect").select("ordinal", fixtures.gate(rule, code).alias("gate"), fixtures.harmless_reason(rule, code).alias("reason"))
+
+
+_PARTS = "CASE WHEN parts[len(parts)] = '' THEN parts[1:len(parts) - 1] ELSE parts END"
+
+
+@query("wrapped_snippets", f"""
+SELECT ordinal, 'def process_request():' || chr(10) || coalesce(array_to_string(list_transform(p, lambda x: CASE WHEN regexp_full_match(x, '\\s*') THEN x ELSE '    ' || x END), chr(10)), '') AS wrapped,
+  coalesce(array_to_string(list_filter(p, lambda x: NOT regexp_matches(x, {quoted(fixtures.MARK)})), chr(10)), '') AS plain
+FROM (SELECT ordinal, {_PARTS} AS p FROM (SELECT ordinal, regexp_split_to_array(code, '{LINE_END}') AS parts FROM new_triage WHERE code IS NOT NULL))
+""")
+def wrapped_snippets(spark: SparkSession, d: str) -> DataFrame:
+    """Snippets as bodies of a function, and without annotations."""
+    rows = table(spark, d, "new_triage").where(F.col("code").isNotNull())
+    return rows.select("ordinal", fixtures.wrapped(F.col("code")).alias("wrapped"), fixtures.without_marks(F.col("code")).alias("plain"))
+
+
+@query("audit_prompts", f"""
+SELECT ordinal, sha256('Audit this candidate.' || chr(10) || chr(10) || 'Candidate metadata:' || chr(10) || '{{"candidate_id":' || to_json({empty('candidate_id')})::VARCHAR || ',"package":' || to_json({empty('package')})::VARCHAR || ',"cwe":' || to_json({empty('cwe')})::VARCHAR || '}}'
+  || chr(10) || chr(10) || 'Vulnerable-side code:' || chr(10) || '```python' || chr(10) || CASE WHEN length({empty('code_vuln')}) > 300 THEN substr(code_vuln, 1, 300) || chr(10) || '[truncated]' ELSE {empty('code_vuln')} END || chr(10) || '```'
+  || chr(10) || chr(10) || 'Fixed-side code:' || chr(10) || '```python' || chr(10) || CASE WHEN length({empty('code_fixed')}) > 300 THEN substr(code_fixed, 1, 300) || chr(10) || '[truncated]' ELSE {empty('code_fixed')} END || chr(10) || '```') AS digest FROM candidates
+""")
+def audit_prompts(spark: SparkSession, d: str) -> DataFrame:
+    """The digest of each candidate's audit request, its code cut at 300 characters."""
+    prompt = screening.audit_prompt(["candidate_id", "package", "cwe"], F.col("code_vuln"), F.col("code_fixed"), 300)
+    return _candidates(spark, d).select("ordinal", F.sha2(prompt, 256).alias("digest"))
+
+
+@query("fixed_sample", "SELECT ordinal FROM new_detect ORDER BY sha256('audit:' || ordinal), ordinal LIMIT 100")
+def fixed_sample(spark: SparkSession, d: str) -> DataFrame:
+    """A hundred records by their seeded digest."""
+    return hashing.first_by_hash(table(spark, d, "new_detect").select("ordinal"), "ordinal", "audit", 100)

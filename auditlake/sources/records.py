@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import time
 from collections.abc import Iterator
 
 import pandas as pd
@@ -192,13 +193,27 @@ def probes(df: DataFrame, raw: str) -> DataFrame:
     return df.select(F.explode(rows).alias("r")).select("r.*")
 
 
-def commit_files_provider(fetch: object) -> object:
-    """A source of commit files from ``fetch(owner, repo, sha) -> [(path, patch)]``, in batches; a failure is a row."""
+def cwe_dictionary(spark: SparkSession, path: str) -> DataFrame:
+    """(cwe, name) of a JSON object of entries by number; an entry's own ``id`` comes before its key. Empty if it can't be read."""
+    kind = "map<string,struct<id:string,name:string>>"
+    if not _exists(spark, path):
+        return spark.createDataFrame([], "cwe string, name string")
+    rows = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", kind)).alias("key", "entry")).where(F.col("entry").isNotNull())
+    return rows.select(F.upper(F.trim(F.coalesce(F.nullif("entry.id", F.lit("")), "key"))).alias("cwe"), F.col("entry.name").alias("name")).where(F.col("cwe") != "")
+
+
+def commit_files_provider(fetch: object, pause: float = 0.0) -> object:
+    """A source of commit files from ``fetch(owner, repo, sha) -> [(path, patch)]``, in batches; a failure is a row.
+
+    A task waits at least ``pause`` seconds between two calls, so ``pause`` times the calls allowed a second is the
+    number of tasks that may run at once.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for row in batch.itertuples(index=False):
+                time.sleep(pause)
                 try:
                     rows += [(*row, path, patch, None) for path, patch in fetch(*row)]
                 except Exception as error:  # noqa: BLE001

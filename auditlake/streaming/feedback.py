@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 from auditlake.plans.store import shared_dir
 
 
-def event_stream(spark: SparkSession, folder: str, files: str = "events.parquet") -> DataFrame:
-    """A stream of the Parquet files of a folder."""
+def event_stream(spark: SparkSession, folder: str, files: str = "events.parquet", at_once: int = 4) -> DataFrame:
+    """A stream of the Parquet files of a folder, at most ``at_once`` of them a batch."""
     schema = spark.read.parquet(f"{folder}/{files}").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", files).option("maxFilesPerTrigger", "4").parquet(folder)
+    return spark.readStream.schema(schema).option("pathGlobFilter", files).option("maxFilesPerTrigger", str(at_once)).parquet(folder)
 
 
 def once(stream: DataFrame, key: str, time: str, late: str = "1 day") -> DataFrame:

@@ -143,3 +143,41 @@ def test_constants_by_hand(spark):
     assert score() == 0 and score(fix_commit="x") == 3 and score(code_vuln="a\nb\nc\nd", code_fixed="e") == 6 and score(code_vuln="a") == -2 and score(file_path="a.py") == 3
     assert score(file_path="tests/a.py") == -4 and score(cve_id="C") == 2 and score(package="PyJWT") == 1 and score(cwe="CWE-327") == 2 and score(cwe="CWE-79") == 1 and score(match_reasons=["keyword:x"]) == 1
     assert score(code_vuln="hashlib.md5(x)") == 2 and score(code_vuln="\n".join("x" * 130)) == -1
+
+
+def test_fixture_gates(spark):
+    from auditlake.operators import fixtures
+
+    hits = {"CRYPTO-001": "hashlib.md5(x)", "CRYPTO-002": "hashlib.new('SHA1')", "CRYPTO-003": "DES3.new(k)", "CRYPTO-004": "import Crypto.Cipher.ARC4", "CRYPTO-005": "modes.ECB()", "CRYPTO-008": "my_key = random.choice(x)", "CRYPTO-009": "RSA.generate(1024)", "CRYPTO-010": "ssl.PROTOCOL_TLSv1"}
+    safe = {"CRYPTO-001": "hashlib.sha256(x)", "CRYPTO-003": "AES.new(k)", "CRYPTO-005": "modes.GCM(iv)", "CRYPTO-008": "key = os.urandom(8)", "CRYPTO-009": "RSA.generate(2048)", "CRYPTO-010": "ssl.PROTOCOL_TLSv1_2"}
+    none = {"CRYPTO-001": "MD5.new(x)", "CRYPTO-008": "index = random.choice(x)", "CRYPTO-013": "a == b", None: "hashlib.md5(x)"}
+    rows = [(r, c, g) for group, g in ((hits, "positive"), (safe, "negative"), (none, "none")) for r, c in group.items()]
+    df = spark.createDataFrame(rows, "r string, c string, want string")
+    assert [x for x in df.select("r", "c", "want", fixtures.gate(F.col("r"), F.col("c")).alias("g")).collect() if x["g"] != x["want"]] == []
+    reason = lambda c: one(spark, fixtures.harmless_reason(F.lit("CRYPTO-001"), F.col("c")), c=(c, "string"))
+    assert [reason(c) for c in ("md5(usedforsecurity=False, sha256)", "SHA512", "AES", "x")] == ["not_for_security", "modern_hash", "modern_cipher", "other"]
+    assert one(spark, fixtures.without_marks(F.col("c")), c=("# ruleid: a-b\nx\n  # ok\n# ok: c\ny # ok\n", "string")) == "x\ny # ok"
+    assert one(spark, fixtures.wrapped(F.col("c")), c=("a\n\n  b", "string")) == "def process_request():\n    a\n\n      b"
+
+
+def test_times_dictionaries_and_archives(spark, tmp_path):
+    import io
+    import json
+    import zipfile
+
+    from auditlake.functions.text import utc_seconds
+    from auditlake.operators.graph import zip_entries
+    from auditlake.sources import records
+
+    at = spark.sql("SELECT timestamp'2031-02-03 04:05:06.789' AS t").select(utc_seconds(F.col("t")).alias("x")).first()["x"]
+    assert at == "2031-02-03T04:05:06+00:00"
+    (tmp_path / "cwe.json").write_text(json.dumps({"CWE-1": {"name": "one"}, "2": {"id": "cwe-2", "name": "two"}, "x": None}))
+    assert sorted(map(tuple, records.cwe_dictionary(spark, str(tmp_path / "cwe.json")).collect())) == [("CWE-1", "one"), ("CWE-2", "two")]
+    assert records.cwe_dictionary(spark, str(tmp_path / "none.json")).count() == 0
+    buffer = io.BytesIO()
+    with zipfile.ZipFile(buffer, "w") as z:
+        for i in range(5):
+            z.writestr(f"{i}.py", "x" * 10)
+    df = spark.createDataFrame([("a.zip", bytearray(buffer.getvalue()))], "path string, content binary")
+    assert [r["skipped"] for r in zip_entries(df, most_files=2).collect()] == [None, None] + ["too_many_files"] * 3
+    assert [r["skipped"] for r in zip_entries(df, most_total=35).collect()] == [None] * 3 + ["too_much"] * 2
