@@ -54,12 +54,23 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return pairs.select(F.least("train_id", "eval_id").alias("ordinal_a"), F.greatest("train_id", "eval_id").alias("ordinal_b"))
 
 
+def p2_classes(spark: SparkSession, folder: str) -> DataFrame:
+    """The overlapping classes of equal records with their similarity, one row a pair of classes."""
+    return split_overlap.overlap_classes(_split_rows(spark, folder), "ordinal", "code", *_sides())[0]
+
+
 def p2_report(spark: SparkSession, folder: str) -> DataFrame:
     """For each evaluation split and source: its records, those that occur in training, the pairs, and the share of their
     words that lie in chunks that training has too."""
     rows = _split_rows(spark, folder)
     held = rows.where(F.coalesce(_sides()[1], F.lit(False))).select(F.col("ordinal").alias("eval_id"), F.coalesce("part", F.lit("eval")).alias("split"), "source")
-    pairs = split_overlap.overlaps(rows, "ordinal", "code", *_sides()).groupBy("eval_id").agg(F.count("*").alias("n"))
+    # pairs are counted by class, never expanded
+    classes, members = split_overlap.overlap_classes(rows, "ordinal", "code", *_sides())
+    sizes = members.groupBy("rep").agg(F.count_if("in_train").alias("trained"))
+    partners = classes.join(sizes.withColumnRenamed("rep", "x"), "x").groupBy("y").agg(F.sum("trained").alias("n"))
+    pairs = members.where("in_eval").select(F.col("id").alias("eval_id"), "in_train", F.col("rep").alias("y")).join(partners, "y")
+    # a row on both sides is no pair with itself
+    pairs = pairs.select("eval_id", (F.col("n") - F.col("in_train").cast("int")).alias("n")).where(F.col("n") > 0)
     parts = split_overlap.overlap_fractions(rows, "ordinal", "code", *_sides()).select("eval_id", "words", "shared")
     sums = held.join(pairs, "eval_id", "left").join(parts, "eval_id", "left").groupBy("split", "source")
     return sums.agg(F.count("*").alias("records"), F.count("n").alias("leaked_records"), F.coalesce(F.sum("n"), F.lit(0)).alias("pairs"), (F.sum("shared") / F.sum("words")).alias("overlap"))

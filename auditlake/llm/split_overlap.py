@@ -138,14 +138,12 @@ def _pairs_of_records(records: DataFrame, bags: DataFrame, store: Store) -> Data
     return store.write(shared.where(F.col("shared") >= F.col("k")).select("x", "y", "nx", "ny"), "candidates")
 
 
-def overlaps(df: DataFrame, id_col: str, text_col: str, in_train: Column, in_eval: Column) -> DataFrame:
-    """(train_id, eval_id): each training row with each evaluation row of the same text.
+def overlap_classes(df: DataFrame, id_col: str, text_col: str, in_train: Column, in_eval: Column) -> tuple[DataFrame, DataFrame]:
+    """Classes of equal texts that overlap, (x, y, similarity), x in training and y in evaluation, and the members of all
+    classes, (id, in_train, in_eval, rep); a class is known by its smallest identifier.
 
-    The same are records that agree in at least SIMILARITY of their words (twice the common words, as a multiset,
-    over all words of both), whatever their layout, case, punctuation and order of JSON members. Rows that are
-    neither training nor evaluation (null counts as neither), and rows with null, blank or wordless text, have no
-    pairs. Rows may be in both sides, but never pair with themselves. Copies are compared once and expanded at the
-    end; an empty table gives no rows.
+    Similarity is twice the common words, as multisets of 32-bit hashes, over all words of both. A class with rows on both
+    sides overlaps itself.
     """
     store = Store(df.sparkSession, "overlap")
     texts = df.select(F.col(id_col).alias("id"), F.coalesce(in_train, F.lit(False)).alias("in_train"), F.coalesce(in_eval, F.lit(False)).alias("in_eval"), F.col(text_col).alias("text")).where(
@@ -162,16 +160,29 @@ def overlaps(df: DataFrame, id_col: str, text_col: str, in_train: Column, in_eva
     wanted = candidates.select(F.explode(F.array("x", "y")).alias("rep")).select(bucket).distinct()
     bags = bags.select("rep", "bag", bucket).join(F.broadcast(wanted), "bucket", "left_semi")
     x, y = (bags.select(F.col("rep").alias(c), F.col("bag").alias(f"bag_{c}")) for c in "xy")
-    same = candidates.join(x, "x").join(y, "y").where(F.size(F.array_intersect("bag_x", "bag_y")) * 2 >= (F.col("nx") + F.col("ny")) * SIMILARITY).select("x", "y").distinct()
-    alike = records.where(F.col("in_train") & F.col("in_eval")).select(F.col("rep").alias("x"), F.col("rep").alias("y"))
-    members = rows.select("id", "in_train", "in_eval", "record").join(records.select("record", "rep"), "record")
-    members = store.write(members.select("id", "in_train", "in_eval", "rep"), "members")
+    similarity = F.size(F.array_intersect("bag_x", "bag_y")) * 2 / (F.col("nx") + F.col("ny"))
+    same = candidates.join(x, "x").join(y, "y").select("x", "y", similarity.alias("similarity")).where(F.col("similarity") >= SIMILARITY).distinct()
+    alike = records.where(F.col("in_train") & F.col("in_eval")).select(F.col("rep").alias("x"), F.col("rep").alias("y"), F.lit(1.0).alias("similarity"))
+    members = rows.select("id", "in_train", "in_eval", "record").join(records.select("record", "rep"), "record").select("id", "in_train", "in_eval", "rep")
+    found = store.write(same.unionByName(alike), "classes"), store.write(members, "members")
+    store.keep("classes", "members")
+    return found
+
+
+def overlaps(df: DataFrame, id_col: str, text_col: str, in_train: Column, in_eval: Column) -> DataFrame:
+    """(train_id, eval_id): each training row with each evaluation row of the same text.
+
+    The same are records that agree in at least SIMILARITY of their words (twice the common words, as a multiset,
+    over all words of both), whatever their layout, case, punctuation and order of JSON members. Rows that are
+    neither training nor evaluation (null counts as neither), and rows with null, blank or wordless text, have no
+    pairs. Rows may be in both sides, but never pair with themselves. Copies are compared once, as classes, and only this
+    result expands them; an empty table gives no rows.
+    """
+    classes, members = overlap_classes(df, id_col, text_col, in_train, in_eval)
     train = members.where("in_train").select(F.col("rep").alias("x"), F.col("id").alias("train_id"))
     held = members.where("in_eval").select(F.col("rep").alias("y"), F.col("id").alias("eval_id"))
-    pairs = same.unionByName(alike).join(train, "x").join(held, "y")
-    found = store.write(pairs.where(F.col("train_id") != F.col("eval_id")).select("train_id", "eval_id"), "pairs")
-    store.keep("pairs")
-    return found
+    pairs = classes.select("x", "y").join(train, "x").join(held, "y")
+    return pairs.where(F.col("train_id") != F.col("eval_id")).select("train_id", "eval_id")
 
 
 def chunks(text: str) -> list[tuple[int, int]]:
