@@ -305,3 +305,21 @@ def audit_prompt(evidence: list[str], vulnerable: Column, fixed: Column, longest
     fields = F.to_json(F.struct(*(F.coalesce(F.col(c), F.lit("")).alias(c) for c in evidence)))
     fence = lambda c: F.concat(F.lit("```python\n"), bounded(F.coalesce(c, F.lit("")), longest), F.lit("\n```"))
     return F.concat(F.lit("Audit this candidate.\n\nCandidate metadata:\n"), fields, F.lit("\n\nVulnerable-side code:\n"), fence(vulnerable), F.lit("\n\nFixed-side code:\n"), fence(fixed))
+
+
+def evidence_status(claims: DataFrame, sources: DataFrame, path: str, snippet: str, text: str) -> DataFrame:
+    """``claims`` with ``status`` and ``source_sha256``: what a pinned source says about a claimed snippet.
+
+    ``no_path`` without a path, ``no_source`` if no source has it, ``no_snippet`` for a blank claim, ``absent`` if the
+    source does not hold the snippet, else ``present``. ``sources`` has one row a path.
+    """
+    pinned = sources.select(F.col(path).alias("_path"), F.col(text).alias("_text"))
+    joined = claims.join(pinned, F.col(path) == F.col("_path"), "left")
+    status = (
+        F.when(F.coalesce(F.col(path), F.lit("")) == "", "no_path")
+        .when(F.col("_text").isNull(), "no_source")
+        .when(~_filled(F.col(snippet)), "no_snippet")
+        .when(F.contains("_text", F.col(snippet)), "present")
+        .otherwise("absent")
+    )
+    return joined.select(*claims.columns, status.alias("status"), F.sha2("_text", 256).alias("source_sha256"))

@@ -152,21 +152,25 @@ UNION ALL SELECT ordinal, 'c' || sha256({collapsed('code_vuln')}) FROM candidate
 """
 
 
-@query(
-    "cluster_dedupe",
-    f"""
+_CLUSTERS = f"""
 WITH RECURSIVE k AS (SELECT ordinal, k FROM ({_KEYS_SQL}) WHERE k IS NOT NULL), f AS (SELECT k, min(ordinal) AS f FROM k GROUP BY k),
 e AS (SELECT DISTINCT k.ordinal AS a, f.f AS b FROM k JOIN f USING (k) WHERE k.ordinal <> f.f), s AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
 r(o, g) AS (SELECT ordinal, ordinal FROM candidates UNION SELECT s.b, r.g FROM r JOIN s ON s.a = r.o WHERE r.g < s.b)
 SELECT o AS ordinal, min(g) AS "group" FROM r GROUP BY o
-""",
-)
+"""
+
+
+@query("cluster_dedupe", _CLUSTERS)
 def cluster_dedupe(spark: SparkSession, d: str) -> DataFrame:
     """The group of each candidate by shared advisory, commit of a file, or code."""
     return graph.connected_groups(_rows(spark, d), "ordinal", _group_keys())
 
 
-@query("cluster_survivors")
+@query("cluster_survivors", f"""
+WITH s AS (SELECT ordinal, (CASE WHEN NOT vb AND NOT fb THEN 1000 ELSE 0 END) + CAST({_SCORE} AS INTEGER) AS strength FROM (SELECT *, regexp_full_match(v, '\\s*') AS vb, regexp_full_match(f, '\\s*') AS fb, len(list_filter(regexp_split_to_array(v, '{LINE_END}'), lambda x: NOT regexp_full_match(x, '\\s*'))) AS n
+  FROM (SELECT *, {empty('code_vuln')} AS v, {empty('code_fixed')} AS f, {_RESOLVED} AS resolved, {_KIND} AS kind FROM candidates)))
+SELECT ordinal, "group", strength FROM ({_CLUSTERS}) JOIN s USING (ordinal) QUALIFY row_number() OVER (PARTITION BY "group" ORDER BY strength DESC, ordinal) = 1
+""")
 def cluster_survivors(spark: SparkSession, d: str) -> DataFrame:
     """The strongest candidate of each group: a code pair first, then the score."""
     filled = lambda c: ~F.coalesce(c, F.lit("")).rlike(r"^\s*$")

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from auditlake.catalog import query
 from auditlake.functions import hashing, text
-from auditlake.operators import candidates, fixtures, metrics, scan, screening, source_ast, tree_rules
-from auditlake.queries.audits import _RANK_SQL, _RULES_SQL, _TRIAGE_SQL, _detect_sql, _findings, _findings_sql, _LLM_SQL, _metrics_sql, _python_records
+from auditlake.operators import candidates, fixtures, metrics, relational, scan, screening, source_ast, tree_rules
+from auditlake.queries.audits import _RANGES_SQL, _RANK_SQL, _RULES_SQL, _TRIAGE_SQL, _detect_sql, _findings, _findings_sql, _LLM_SQL, _metrics_sql, _python_records
 from auditlake.queries.candidates import _KIND, _NORMAL, _RESOLVED, _SCORE
 from auditlake.queries.sql import LINE_END, collapsed, empty, no_space, quoted
 from auditlake.sources.tables import table
@@ -484,3 +484,27 @@ def audit_prompts(spark: SparkSession, d: str) -> DataFrame:
 def fixed_sample(spark: SparkSession, d: str) -> DataFrame:
     """A hundred records by their seeded digest."""
     return hashing.first_by_hash(table(spark, d, "new_detect").select("ordinal"), "ordinal", "audit", 100)
+
+
+@query("evidence_status", """
+WITH s AS (SELECT file, arg_min(code, ordinal) AS text FROM new_detect WHERE file <> '' AND code IS NOT NULL GROUP BY file)
+SELECT ordinal, CASE WHEN coalesce(t.file, '') = '' THEN 'no_path' WHEN s.text IS NULL THEN 'no_source' WHEN regexp_full_match(coalesce(t.code, ''), '\\s*') THEN 'no_snippet' WHEN contains(s.text, t.code) THEN 'present' ELSE 'absent' END AS status, sha256(s.text) AS source_sha256
+FROM new_triage t LEFT JOIN s ON s.file = t.file
+""")
+def evidence_status(spark: SparkSession, d: str) -> DataFrame:
+    """Whether the source that a triage record names holds its code."""
+    sources = table(spark, d, "new_detect").where((F.col("file") != "") & F.col("code").isNotNull()).groupBy("file").agg(F.min_by("code", "ordinal").alias("text"))
+    found = screening.evidence_status(table(spark, d, "new_triage").select("ordinal", "file", "code"), sources, "file", "code", "text")
+    return found.select("ordinal", "status", "source_sha256")
+
+
+@query("function_cases", f"""
+SELECT ordinal, name, CAST(start_line AS INTEGER) AS start_line, count(*) AS findings, string_agg(DISTINCT rule_id, ',' ORDER BY rule_id) AS rules FROM (
+  SELECT f.ordinal, f.line, f.rule_id, arg_min(g.name, g.start_line) AS name, min(g.start_line) AS start_line FROM ({_findings_sql()}) f JOIN ({_RANGES_SQL}) g ON f.ordinal = g.ordinal AND f.line BETWEEN g.start_line AND g.end_line GROUP BY f.ordinal, f.line, f.rule_id)
+GROUP BY ordinal, name, start_line
+""")
+def function_cases(spark: SparkSession, d: str) -> DataFrame:
+    """Each outermost function with findings once, with the rules that it breaks."""
+    ranges = scan.function_ranges(table(spark, d, "new_detect"), "code", "ordinal")
+    found = relational.enclosing(_findings(spark, d).select("ordinal", "line", "rule_id"), ranges, "ordinal", "line", "start_line", "end_line")
+    return found.groupBy("ordinal", "name", "start_line").agg(F.count("*").alias("findings"), F.array_join(F.array_sort(F.collect_set("rule_id")), ",").alias("rules"))
