@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from auditlake.catalog import query
 from auditlake.functions import hashing, text
-from auditlake.operators import candidates, fixtures, metrics, relational, scan, screening, source_ast, tree_rules
+from auditlake.operators import candidates, dataset, fixtures, metrics, relational, scan, screening, source_ast, tree_rules
 from auditlake.queries.audits import _RANGES_SQL, _RANK_SQL, _RULES_SQL, _TRIAGE_SQL, _detect_sql, _findings, _findings_sql, _LLM_SQL, _metrics_sql, _python_records
 from auditlake.queries.candidates import _KIND, _NORMAL, _RESOLVED, _SCORE
 from auditlake.queries.sql import LINE_END, collapsed, empty, no_space, quoted
@@ -508,3 +508,35 @@ def function_cases(spark: SparkSession, d: str) -> DataFrame:
     ranges = scan.function_ranges(table(spark, d, "new_detect"), "code", "ordinal")
     found = relational.enclosing(_findings(spark, d).select("ordinal", "line", "rule_id"), ranges, "ordinal", "line", "start_line", "end_line")
     return found.groupBy("ordinal", "name", "start_line").agg(F.count("*").alias("findings"), F.array_join(F.array_sort(F.collect_set("rule_id")), ",").alias("rules"))
+
+
+_SIDES = {"eval": "detect_eval", "val": "(SELECT * FROM new_detect WHERE lower(trim(split)) = 'val')", "test": "(SELECT * FROM new_detect WHERE lower(trim(split)) = 'test')"}, {"train": "(SELECT * FROM new_detect WHERE lower(trim(split)) = 'train')", "triage": "new_triage"}
+_DIMENSIONS = {"exact": "sha256(code)", "normalized": f"sha256({collapsed('code')})", "nospace": f"sha256({no_space('code')})"}
+
+
+def _leak_checks_sql() -> str:
+    cells = []
+    for dimension, key in _DIMENSIONS.items():
+        for e, left in _SIDES[0].items():
+            for t, right in _SIDES[1].items():
+                sides = [f"(SELECT {key} AS k, count(*) AS n FROM {side} WHERE code IS NOT NULL GROUP BY 1)" for side in (left, right)]
+                cells.append(f"SELECT '{e}' AS evaluation, '{t}' AS training, '{dimension}' AS dimension, count(*) AS shared_keys, coalesce(sum(a.n), 0)::BIGINT AS left_rows, coalesce(sum(b.n), 0)::BIGINT AS right_rows FROM {sides[0]} a JOIN {sides[1]} b USING (k)")
+    return " UNION ALL ".join(cells)
+
+
+@query("leak_checks", _leak_checks_sql())
+def leak_checks(spark: SparkSession, d: str) -> DataFrame:
+    """What each evaluation set shares with each training set, by three forms of the code."""
+    keyed = lambda df: df.where(F.col("code").isNotNull()).select(F.sha2("code", 256).alias("exact"), F.sha2(text.collapsed(F.col("code")), 256).alias("normalized"), F.sha2(text.no_space(F.col("code")), 256).alias("nospace"))
+    part = lambda name: keyed(table(spark, d, "new_detect").where(F.lower(F.trim("split")) == name))
+    evaluation = {"eval": keyed(table(spark, d, "detect_eval")), "val": part("val"), "test": part("test")}
+    return dataset.leak_matrix(evaluation, {"train": part("train"), "triage": keyed(table(spark, d, "new_triage"))}, {k: k for k in _DIMENSIONS})
+
+
+@query("leak_checks_by_tree")
+def leak_checks_by_tree(spark: SparkSession, d: str) -> DataFrame:
+    """The same by the syntax trees of Python code; what doesn't parse shares nothing."""
+    keyed = lambda df: df.where(text.language_name(F.col("lang")).eqNullSafe("python")).select(source_ast.tree_key(F.col("code")).alias("tree"))
+    part = lambda name: keyed(table(spark, d, "new_detect").where(F.lower(F.trim("split")) == name))
+    evaluation = {"eval": keyed(table(spark, d, "detect_eval")), "val": part("val"), "test": part("test")}
+    return dataset.leak_matrix(evaluation, {"train": part("train"), "triage": keyed(table(spark, d, "new_triage"))}, {"tree": "tree"})
