@@ -161,7 +161,7 @@ LEFT JOIN (SELECT ordinal, min(rule_id) AS r FROM ({_findings_sql()}) GROUP BY o
 
 def _systems(spark: SparkSession, d: str) -> DataFrame:
     """The verdicts of the model's signals and of the line rules on every record, from one scan."""
-    new = table(spark, d, "new_detect").select("ordinal", F.col("label.vulnerable").alias("t"), F.col("label.cwe").alias("tc"), "code")
+    new = spread(table(spark, d, "new_detect").select("ordinal", F.col("label.vulnerable").alias("t"), F.col("label.cwe").alias("tc"), "code"), "ordinal")
     # ordinal tells records apart, so the other columns only ride along
     rows = new.select("ordinal", "t", "tc", "code", scan.mock_detect(F.col("code")).alias("p"))
     first = scan.first_rule(rows.select("ordinal", "t", "tc", F.col("p.vulnerable").alias("pv"), F.col("p.cwe").alias("pc"), "code"), "code", "ordinal", "t", "tc", "pv", "pc")

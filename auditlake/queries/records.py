@@ -208,7 +208,8 @@ SELECT ordinal FROM w WHERE v <> f
 """,
 )
 def label_conflicts_first(spark: SparkSession, d: str) -> DataFrame:
-    rows = _detect(spark, d).where(F.col("code").isNotNull()).select("ordinal", "task", F.sha2(text.collapsed(F.col("code")), 256).alias("k"), F.to_json("label").alias("v"))
+    rows = spread(_detect(spark, d).where(F.col("code").isNotNull()).select("ordinal", "task", "code", "label"), "ordinal")
+    rows = rows.select("ordinal", "task", F.sha2(text.collapsed(F.col("code")), 256).alias("k"), F.to_json("label").alias("v"))
     return relational.conflicts_with_first(rows, ["task", "k"], F.col("v"), "ordinal").select("ordinal")
 
 
@@ -267,7 +268,7 @@ JOIN (SELECT {key} AS k, count(*) AS n FROM {t} WHERE code IS NOT NULL AND {wher
 
 
 def _keyed(df: DataFrame) -> DataFrame:
-    rows = df.where(F.col("code").isNotNull())
+    rows = spread(df.where(F.col("code").isNotNull()).select("ordinal", "code"), "ordinal")
     return rows.select("ordinal", F.sha2("code", 256).alias("exact"), F.sha2(text.collapsed(F.col("code")), 256).alias("normalized"))
 
 
