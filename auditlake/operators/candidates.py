@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from auditlake.functions.text import cwe, lines, path_kind
-from auditlake.operators.dataset import TARGET_CWES
+from auditlake.operators.dataset import RULE_CWE, TARGET_CWES
 
 # Package lists, rule hints, and the words of crypto code.
 WATCHLIST = [
@@ -57,8 +57,11 @@ def record_cwes() -> Column:
     return F.array_distinct(F.filter(F.transform(every, cwe), lambda x: x != ""))
 
 
-def match_outcome(packages: Column, cwes: Column, text: Column, keyword: str, withdrawn: Column, watch: list[str] = WATCHLIST) -> Column:
-    """(outcome, reasons) of an advisory: ``withdrawn``, ``no_package``, ``matched`` or ``out_of_scope``."""
+def match_outcome(packages: Column, cwes: Column, text: Column, keyword: str, withdrawn: Column, watch: list[str] = WATCHLIST, malicious: Column | None = None, cwe_only: bool = False) -> Column:
+    """(outcome, reasons) of an advisory: ``malicious``, ``withdrawn``, ``no_package``, ``matched`` or ``out_of_scope``.
+
+    With ``cwe_only`` neither a watched package nor a keyword is enough.
+    """
     hit = F.array_sort(F.array_intersect(cwes, F.array(*map(F.lit, TARGET_CWES))))
     watched = F.array_sort(F.filter(packages, lambda p: F.lower(p).isin(watch)))
     word = F.regexp_extract(text, f"(?i){keyword}", 0)
@@ -69,7 +72,8 @@ def match_outcome(packages: Column, cwes: Column, text: Column, keyword: str, wi
             F.when(word != "", F.concat(F.lit("keyword:"), F.regexp_replace(F.lower(word), r"\s+", "_"))),
         )
     )
-    outcome = F.when(withdrawn, "withdrawn").when(F.size(packages) == 0, "no_package").when(F.size(reasons) > 0, "matched").otherwise("out_of_scope")
+    enough = F.size(hit) > 0 if cwe_only else F.size(reasons) > 0
+    outcome = F.when(malicious if malicious is not None else F.lit(False), "malicious").when(withdrawn, "withdrawn").when(F.size(packages) == 0, "no_package").when(enough, "matched").otherwise("out_of_scope")
     return F.struct(outcome.alias("outcome"), reasons.alias("reasons"))
 
 
@@ -135,17 +139,29 @@ def first_failing(checks: dict[str, Column]) -> Column:
     return out
 
 
-def csv_outcomes(df: DataFrame, cwes: Column) -> DataFrame:
-    """(outcome, n): rows of a code-pair CSV by the first filter they fail, ``kept`` for none."""
+def csv_outcomes(df: DataFrame, cwes: Column, crypto: list[str] | None = None, label: Column | None = None) -> DataFrame:
+    """(outcome, n): rows of a code-pair CSV by the first filter they fail, ``kept`` for none.
+
+    With ``crypto``, a wider set of CWEs is asked for first and the target ones last; with ``label``, it must be 1.
+    """
     text = lambda c: F.trim(_text(c))
-    outcome = first_failing(
-        {
-            "no_target_cwe": F.size(F.array_intersect(cwes, F.array(*map(F.lit, TARGET_CWES)))) > 0,
-            "blank_side": (text("code_vuln") != "") & (text("code_fixed") != ""),
-            "identical": F.col("code_vuln") != F.col("code_fixed"),
-        }
-    )
-    return df.select(F.coalesce(outcome, F.lit("kept")).alias("outcome")).groupBy("outcome").agg(F.count("*").alias("n"))
+    among = lambda names: F.size(F.array_intersect(cwes, F.array(*map(F.lit, names)))) > 0
+    checks = {"no_crypto_cwe": among(crypto)} if crypto else {"no_target_cwe": among(TARGET_CWES)}
+    if label is not None:
+        checks["label"] = F.trim(label).isin("1", "1.0")
+    checks |= {"blank_side": (text("code_vuln") != "") & (text("code_fixed") != ""), "identical": F.col("code_vuln") != F.col("code_fixed")}
+    if crypto:
+        checks["no_target_cwe"] = among(TARGET_CWES)
+    return df.select(F.coalesce(first_failing(checks), F.lit("kept")).alias("outcome")).groupBy("outcome").agg(F.count("*").alias("n"))
+
+
+def collected_cwes(values: list[Column], rule: Column) -> Column:
+    """The distinct CWEs of several fields in order, before them those that the rule stands for and no field has."""
+    own = F.array_distinct(F.filter(F.transform(F.array(*values), lambda x: cwe(F.coalesce(x, F.lit("")))), lambda x: x != ""))
+    ruled = F.array().cast("array<string>")
+    for name, cwes in RULE_CWE.items():
+        ruled = F.when(F.upper(F.trim(rule)) == name, F.array(*map(F.lit, reversed(sorted(cwes))))).otherwise(ruled)
+    return F.concat(F.array_except(ruled, own), own)
 
 
 # Folders that hold no implementation, and words of crypto files.

@@ -63,3 +63,8 @@ def metric_delta(before: DataFrame, after: DataFrame, key: str, *metrics: str) -
 def timing_stats(df: DataFrame, value: str, *by: str) -> DataFrame:
     """Count, mean, least, greatest and sample deviation (null for one value)."""
     return df.groupBy(*by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.min(value).alias("least"), F.max(value).alias("most"), F.stddev_samp(value).alias("deviation"))
+
+
+def mismatches(df: DataFrame, truth: Column, predicted: Column) -> DataFrame:
+    """The rows whose prediction is not the truth; null is like no other value."""
+    return df.where(~truth.eqNullSafe(predicted))

@@ -221,3 +221,14 @@ def expanded(templates: DataFrame, names: DataFrame, group: str, ordinal: str, m
     rows = heads.crossJoin(F.broadcast(first))
     place = F.row_number().over(Window.partitionBy(group).orderBy(ordinal, *names.columns))
     return rows.withColumn("_place", place).where(F.col("_place") <= most).drop("_place")
+
+
+def unique_index(df: DataFrame, key: str, label: str) -> DataFrame:
+    """``df`` if every row has a key of its own; using the rows of any other fails with the key at fault.
+
+    One combined aggregation looks for an empty or repeated key, and its single row is joined to all.
+    """
+    counts = df.groupBy(F.col(key).alias("_k")).agg(F.count("*").alias("_n"))
+    bad = counts.where(F.coalesce(F.col("_k").cast("string"), F.lit("")).isin("") | (F.col("_n") > 1)).agg(F.min(F.coalesce(F.col("_k").cast("string"), F.lit(""))).alias("_bad"))
+    checked = F.when(F.col("_bad").isNull(), F.col(key)).otherwise(F.raise_error(F.concat(F.lit(f"{label}: empty or repeated key: "), "_bad")).cast(df.schema[key].dataType))
+    return df.crossJoin(F.broadcast(bad)).withColumn(key, checked).select(*df.columns)

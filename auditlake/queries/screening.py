@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from auditlake.catalog import query
 from auditlake.functions import hashing, text
 from auditlake.operators import candidates, dataset, fixtures, metrics, relational, scan, screening, source_ast, tree_rules
-from auditlake.queries.audits import _RANGES_SQL, _RANK_SQL, _RULES_SQL, _TRIAGE_SQL, _detect_sql, _findings, _findings_sql, _LLM_SQL, _metrics_sql, _python_records
+from auditlake.queries.audits import _BOTH_SQL, _RANGES_SQL, _RANK_SQL, _RULES_SQL, _TRIAGE_SQL, _detect_sql, _findings, _findings_sql, _LLM_SQL, _metrics_sql, _python_records, _two_engines
 from auditlake.queries.candidates import _KIND, _NORMAL, _RESOLVED, _SCORE
 from auditlake.queries.sql import LINE_END, collapsed, empty, no_space, quoted
 from auditlake.sources.tables import table
@@ -540,3 +540,39 @@ def leak_checks_by_tree(spark: SparkSession, d: str) -> DataFrame:
     part = lambda name: keyed(table(spark, d, "new_detect").where(F.lower(F.trim("split")) == name))
     evaluation = {"eval": keyed(table(spark, d, "detect_eval")), "val": part("val"), "test": part("test")}
     return dataset.leak_matrix(evaluation, {"train": part("train"), "triage": keyed(table(spark, d, "new_triage"))}, {"tree": "tree"})
+
+
+@query("rule_kinds", "SELECT rule, count_if(label.vulnerable) AS positive, count_if(NOT label.vulnerable) AS negative, count_if(label.vulnerable IS NULL) AS unlabelled FROM new_detect GROUP BY rule")
+def rule_kinds(spark: SparkSession, d: str) -> DataFrame:
+    """Records of each rule by the kind of their label."""
+    v = F.col("label.vulnerable")
+    return table(spark, d, "new_detect").groupBy("rule").agg(F.count_if(v).alias("positive"), F.count_if(~v).alias("negative"), F.count_if(v.isNull()).alias("unlabelled"))
+
+
+@query("top_entries", f"SELECT severity, count(*) AS n FROM (SELECT upper(trim({empty('label.severity')})) AS severity FROM new_triage) GROUP BY severity ORDER BY n DESC, severity LIMIT 6")
+def top_entries(spark: SparkSession, d: str) -> DataFrame:
+    """The six most frequent severities as they are given."""
+    rows = table(spark, d, "new_triage").select(F.upper(F.trim(F.coalesce("label.severity", F.lit("")))).alias("severity"))
+    return rows.groupBy("severity").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "severity").limit(6)
+
+
+@query("triage_mismatches", f"SELECT ordinal, label.verdict AS truth, {_TRIAGE_SQL} AS predicted FROM new_triage WHERE label.verdict IS DISTINCT FROM {_TRIAGE_SQL}")
+def triage_mismatches(spark: SparkSession, d: str) -> DataFrame:
+    """Triage records on which the mock model differs from the label."""
+    rows = table(spark, d, "new_triage").select("ordinal", F.col("label.verdict").alias("truth"), scan.mock_triage(F.col("code")).alias("predicted"))
+    return metrics.mismatches(rows, F.col("truth"), F.col("predicted"))
+
+
+@query("engine_counts", f"SELECT engine, rule_id, count(*) AS n FROM ({_BOTH_SQL}) GROUP BY engine, rule_id")
+def engine_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Findings by engine and rule, before they are merged."""
+    return _two_engines(spark, d).groupBy("engine", "rule_id").agg(F.count("*").alias("n"))
+
+
+@query("collected_cwes", f"""
+SELECT ordinal, array_to_string(list_concat(list_filter(CASE upper(trim({empty('rule_id')})) {" ".join(f"WHEN '{r}' THEN {sorted(c, reverse=True)}" for r, c in dataset.RULE_CWE.items())} ELSE []::VARCHAR[] END, lambda c: NOT list_contains(own, c)), own), ',') AS cwes
+FROM (SELECT ordinal, rule_id, list_filter(list_transform([{empty('cwe')}], lambda x: {_NORMAL}), lambda x: x <> '') AS own FROM candidates)
+""")
+def collected_cwes(spark: SparkSession, d: str) -> DataFrame:
+    """The CWEs of each candidate, those of its rule first."""
+    return _candidates(spark, d).select("ordinal", F.array_join(candidates.collected_cwes([F.col("cwe")], F.col("rule_id")), ",").alias("cwes"))

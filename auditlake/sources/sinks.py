@@ -35,8 +35,13 @@ def replaced(spark: SparkSession, path: str, write: Callable[[str], None]) -> No
         fs.delete(jvm.org.apache.hadoop.fs.Path(new), True)
 
 
-def write_jsonl(df: DataFrame, path: str, nulls: bool = True, ascii_sorted: bool = False) -> None:
-    """One JSON object a line, columns in order, or sorted by name with everything else than ASCII escaped."""
+def write_jsonl(df: DataFrame, path: str, nulls: bool = True, ascii_sorted: bool = False, order: list | None = None) -> None:
+    """One JSON object a line, columns in order, or sorted by name with everything else than ASCII escaped.
+
+    With ``order`` the lines of all files together, by file name, are in that order, so that equal data give equal files.
+    """
+    if order:
+        df = df.orderBy(*order)
     columns = sorted(df.columns) if ascii_sorted else df.columns
     text = F.to_json(F.struct(*columns), {"ignoreNullFields": str(not nulls).lower()})
     if ascii_sorted:

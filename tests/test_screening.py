@@ -181,3 +181,25 @@ def test_times_dictionaries_and_archives(spark, tmp_path):
     df = spark.createDataFrame([("a.zip", bytearray(buffer.getvalue()))], "path string, content binary")
     assert [r["skipped"] for r in zip_entries(df, most_files=2).collect()] == [None, None] + ["too_many_files"] * 3
     assert [r["skipped"] for r in zip_entries(df, most_total=35).collect()] == [None] * 3 + ["too_much"] * 2
+
+
+def test_csv_filters_indexes_and_outcomes(spark, tmp_path):
+    import pytest
+
+    from auditlake.sources import sinks
+
+    rows = [(["CWE-1"], "1", "a", "b"), (["CWE-327"], "0", "a", "b"), (["CWE-327"], "1", " ", "b"), (["CWE-327"], "1.0", "a", "a"), (["CWE-2"], "1", "a", "b"), (["CWE-327"], "1", "a", "b")]
+    df = spark.createDataFrame(rows, "c array<string>, l string, code_vuln string, code_fixed string")
+    got = {r["outcome"]: r["n"] for r in candidates.csv_outcomes(df, F.col("c"), ["CWE-327", "CWE-2"], F.col("l")).collect()}
+    assert got == {"no_crypto_cwe": 1, "label": 1, "blank_side": 1, "identical": 1, "no_target_cwe": 1, "kept": 1}
+    assert one(spark, candidates.collected_cwes([F.col("a"), F.col("b")], F.lit("crypto-010")), a=("cwe 295", "string"), b=(None, "string")) == ["CWE-326", "CWE-295"]
+    match = lambda **k: one(spark, candidates.match_outcome(F.array(F.lit("pyjwt")), F.array().cast("array<string>"), F.lit(""), "key", F.lit(False), **k)["outcome"], a=(1, "int"))
+    assert (match(), match(cwe_only=True), match(malicious=F.lit(True))) == ("matched", "out_of_scope", "malicious")
+    keyed = spark.createDataFrame([("a", 1), ("b", 2)], "k string, v int")
+    assert relational.unique_index(keyed, "k", "file").count() == 2 and sorted(map(tuple, relational.unique_index(keyed, "k", "file").collect())) == [("a", 1), ("b", 2)]
+    for more in (("a", 3), (None, 3), ("", 3)):
+        with pytest.raises(Exception, match="file: empty or repeated key"):
+            relational.unique_index(keyed.union(spark.createDataFrame([more], keyed.schema)), "k", "file").collect()
+    sinks.write_jsonl(spark.range(50).select((F.lit(50) - F.col("id")).alias("n")), str(tmp_path / "o"), order=["n"])
+    lines = [x for f in sorted((tmp_path / "o").iterdir()) if f.name.startswith("part") for x in f.read_text().splitlines()]
+    assert lines == [f'{{"n":{i}}}' for i in range(1, 51)]
