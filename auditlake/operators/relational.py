@@ -39,11 +39,6 @@ def carry_forward(value: str, group: str, ordinal: str) -> Column:
     return F.last(value, ignorenulls=True).over(Window.partitionBy(group).orderBy(ordinal).rowsBetween(Window.unboundedPreceding, 0))
 
 
-def running_sum(value: Column, group: str, ordinal: str) -> Column:
-    """The sum of the values up to the row, in its group."""
-    return F.sum(value).over(Window.partitionBy(group).orderBy(ordinal).rowsBetween(Window.unboundedPreceding, 0))
-
-
 #: Arrivals of a chunk in which rows are ranked.
 STRETCH = 100_000
 

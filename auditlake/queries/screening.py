@@ -12,6 +12,7 @@ from auditlake.queries.audits import _BOTH_SQL, _RANGES_SQL, _RANK_SQL, _RULES_S
 from auditlake.queries.candidates import _KIND, _NORMAL, _RESOLVED, _SCORE
 from auditlake.queries.sql import LINE_END, collapsed, empty, no_space, quoted
 from auditlake.sources.tables import table
+from auditlake.streaming import feedback
 
 _BLANK = lambda c: f"regexp_full_match(coalesce({c}, ''), '\\s*')"
 _SCORED = f"""
@@ -576,3 +577,60 @@ FROM (SELECT ordinal, rule_id, list_filter(list_transform([{empty('cwe')}], lamb
 def collected_cwes(spark: SparkSession, d: str) -> DataFrame:
     """The CWEs of each candidate, those of its rule first."""
     return _candidates(spark, d).select("ordinal", F.array_join(candidates.collected_cwes([F.col("cwe")], F.col("rule_id")), ",").alias("cwes"))
+
+
+_SLUG = f"substr(regexp_replace(regexp_replace(lower({empty('repo_url')}), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 48)"
+
+
+@query("content_ids", f"SELECT ordinal, concat_ws('-', {_SLUG}, substr(sha1({no_space('code')}), 1, 8), rule) AS content_id FROM new_detect WHERE code IS NOT NULL")
+def content_ids(spark: SparkSession, d: str) -> DataFrame:
+    """Identifiers of records by repository, code and rule."""
+    rows = table(spark, d, "new_detect").where(F.col("code").isNotNull())
+    return rows.select("ordinal", text.content_id(F.coalesce("repo_url", F.lit("")), F.col("code"), F.col("rule")).alias("content_id"))
+
+
+@query("key_overlap", "SELECT k, a.n AS left_rows, b.n AS right_rows FROM (SELECT sha256(code) AS k, count(*) AS n FROM new_detect WHERE code IS NOT NULL GROUP BY 1) a JOIN (SELECT sha256(code) AS k, count(*) AS n FROM new_triage WHERE code IS NOT NULL GROUP BY 1) b USING (k)")
+def key_overlap(spark: SparkSession, d: str) -> DataFrame:
+    """The codes that two tables share, with their rows on either side."""
+    sides = [table(spark, d, name).select(F.sha2("code", 256).alias("k")) for name in ("new_detect", "new_triage")]
+    return relational.key_overlap(*sides, "k")
+
+
+@query("event_windows", "SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
+def event_windows(spark: SparkSession, d: str) -> DataFrame:
+    """Events by day and type, counted by a stream in windows."""
+    # times without zone are taken as UTC, whatever the zone of the session
+    stream = feedback.event_stream(spark, d).withColumn("ts", F.timestamp_micros(F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', CAST(ts AS TIMESTAMP_NTZ))")))
+    counts = feedback.windowed_counts(stream, "ts", "1 day", "3650 days", "event_type")
+    rows = feedback.run_to_table(counts, "complete", "windows")
+    return rows.select(F.expr("timestampadd(MICROSECOND, unix_micros(start), TIMESTAMP_NTZ'1970-01-01 00:00:00')").alias("start"), "event_type", "n")
+
+
+@query("safe_names", "SELECT ordinal, CASE WHEN n = '' THEN 'snippet.txt' ELSE n END AS name FROM (SELECT ordinal, coalesce(regexp_replace(regexp_replace(regexp_extract(file_path, '([^/\\\\]*)$', 1), '[^A-Za-z0-9._-]+', '_', 'g'), '^[._]+', ''), '') AS n FROM candidates)")
+def safe_names(spark: SparkSession, d: str) -> DataFrame:
+    """File names that are safe to store under."""
+    return _candidates(spark, d).select("ordinal", text.safe_name(F.col("file_path")).alias("name"))
+
+
+@query("file_manifest", "SELECT CAST(doc_id AS VARCHAR) AS path, octet_length(encode(text))::INTEGER AS bytes, sha256(text) AS sha256, len(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> ''))::INTEGER AS line_count FROM documents WHERE text IS NOT NULL")
+def file_manifest(spark: SparkSession, d: str) -> DataFrame:
+    """Bytes, digest and filled lines of every document."""
+    files = table(spark, d, "documents").where(F.col("text").isNotNull()).select(F.col("doc_id").cast("string").alias("path"), F.encode("text", "UTF-8").alias("content"))
+    return dataset.file_manifest(files)
+
+
+@query("patch_sides", f"""
+SELECT ordinal, {", ".join(f"coalesce(array_to_string(list_transform(list_filter(p, lambda x: NOT regexp_matches(x, '^(@@|diff |index |--- |[+]{{3}} |[\\\\])') AND (starts_with(x, ' ') OR starts_with(x, '{side}') OR x = '')), lambda x: substr(x, 2)), chr(10)), '') AS {name}" for side, name in (("-", "before"), ("+", "after")))}
+FROM (SELECT ordinal, {_PARTS} AS p FROM (SELECT ordinal, regexp_split_to_array(code_vuln, '{LINE_END}') AS parts FROM candidates WHERE code_vuln IS NOT NULL))
+""")
+def patch_sides(spark: SparkSession, d: str) -> DataFrame:
+    """Both sides of what a code field says as a diff."""
+    rows = _candidates(spark, d).where(F.col("code_vuln").isNotNull())
+    return rows.select("ordinal", *(text.patch_side(F.col("code_vuln"), side).alias(name) for side, name in (("-", "before"), ("+", "after"))))
+
+
+@query("dedented_snippets")
+def dedented_snippets(spark: SparkSession, d: str) -> DataFrame:
+    """Snippets without annotations and common indentation."""
+    rows = table(spark, d, "new_triage").where(F.col("code").isNotNull())
+    return rows.select("ordinal", source_ast.dedented(fixtures.without_marks(F.col("code"))).alias("code"))
