@@ -178,6 +178,7 @@ def grouped_splits(df: DataFrame, id_col: str, entities: dict[str, tuple[Column,
         edges.where(F.col("all") > 0).select("split", ((F.col("to") - F.col("lack")) / F.col("all")).alias("lower"), F.when(F.col("to") >= F.col("all"), 2.0).otherwise(F.col("to") / F.col("all")).alias("upper")),
         "shares",
     )
+    store.keep("records", "sizes", "heavy", "shares")
     light = marked.where(~F.col("heavy")).select("root", "size")
     splits = dealt.unionByName(_light_splits(light, shares, store))
     return records.join(splits.select("root", "split"), "root").select(F.col("id").alias(id_col), F.col("split").alias("new_split"))
@@ -185,7 +186,9 @@ def grouped_splits(df: DataFrame, id_col: str, entities: dict[str, tuple[Column,
 
 def spanning_forest(df: DataFrame, id_col: str, entities: dict[str, tuple[Column, Column]], path: str | None = None, prior: DataFrame | None = None) -> DataFrame:
     """(u, v, weight): the forest over spellings and keys; with ``path`` it is kept there for later runs to extend."""
-    _, forest = entity_groups(df, F.col(id_col), entities, Store(df.sparkSession, "forest"), prior)
+    store = Store(df.sparkSession, "forest")
+    _, forest = entity_groups(df, F.col(id_col), entities, store, prior)
+    store.keep("forest", "live-0")
     if path:
         forest.write.mode("errorifexists").parquet(path)
         forest = df.sparkSession.read.parquet(path)
@@ -201,5 +204,6 @@ def divided_groups(df: DataFrame, id_col: str, entities: dict[str, tuple[Column,
     store = Store(df.sparkSession, "divided")
     identifier = F.struct(F.col(id_col).alias("_row"), split.alias("_split"))
     records, _ = entity_groups(df.where(split.isNotNull()), identifier, entities, store)
+    store.keep("records")
     groups = records.where(F.col("key").isNotNull()).groupBy("root").agg(F.min("key").alias("key"), F.count_distinct("id._split").alias("n"))
     return groups.where(F.col("n") >= 2).select("key")
