@@ -21,8 +21,8 @@ WORDS = 12
 #: Least number of consecutive letters and digits in common with a Chinese text.
 LETTERS = 20
 #: The held-out texts are sent to every executor in blocks of about so many characters, one after the other. Tables of
-#: patterns take BYTES a character at most (measured by a test), so a block takes some 170 MB in a Python worker.
-BLOCK, BYTES = 500_000, 350
+#: patterns take up to BYTES a character (random letters, measured by a test), so a block takes up to 175 MB in a worker.
+BLOCK, BYTES = 250_000, 700
 
 _WORD = re.compile(r"\w+")
 _LETTER = re.compile(r"[\W_]+")

@@ -266,13 +266,13 @@ def test_tables_of_patterns_take_the_stated_memory():
     import tracemalloc
 
     r = random.Random(5)
-    words = ["".join(r.choice("abcdefghijklmnopqrst") for _ in range(r.randint(3, 9))) for _ in range(2000)]
-    items = [(k, " ".join(r.choice(words) for _ in range(600)), k % 2 == 0) for k in range(40)]
+    # random letters share the fewest blocks, and windows of letters are more than windows of words
+    items = [(k, " ".join("".join(r.choice("abcdefghijklmnopqrst") for _ in range(r.randint(3, 9))) for _ in range(600)), True) for k in range(40)]
     tracemalloc.start()
     kept = [leakage.WuManber(x, 5) for x in leakage.patterns(items)]
     size = tracemalloc.get_traced_memory()[0]
     tracemalloc.stop()
-    assert kept and size <= 1.3 * leakage.BYTES * sum(len(t) for _, t, _ in items)
+    assert kept and size <= leakage.BYTES * sum(len(t) for _, t, _ in items)
 
 
 def _cut(text: str) -> list[str]:
