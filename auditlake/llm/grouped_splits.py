@@ -6,8 +6,6 @@ persisted as tables; its roots are stratified by size band and dealt systematica
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
