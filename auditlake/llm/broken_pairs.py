@@ -1,7 +1,7 @@
 """Problem 7: question-answer pairs that are empty, cut off, refused, copied or in another language.
 
-Method: the opening clauses of all answers are clustered by verified MinHash. Templates with a phrase that declines
-are seeds; templates that recur across unrelated questions, share nothing with them and stand among the polite formulas
+Method: the opening clauses of all answers are clustered by the similarity of their shingles; a prefix filter gives the
+candidates, so that no similar pair is lost. Templates with a phrase that declines are seeds; templates that recur across unrelated questions, share nothing with them and stand among the polite formulas
 that accompany refusals are refusals too, whatever their words. Copy, language and termination checks label the
 remaining defects.
 """
@@ -9,10 +9,12 @@ remaining defects.
 from __future__ import annotations
 
 import json
+import math
 import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -22,8 +24,17 @@ from pyspark.sql import functions as F
 from auditlake.llm.consolidate import components
 from auditlake.plans.store import Store
 
-#: Words of a shingle, least Jaccard similarity of two openings of one template, hashes and rows a band.
-SHINGLE, SIMILAR, HASHES, BAND = 5, 0.8, 32, 4
+#: Words of a shingle, least Jaccard similarity of two openings of one template.
+SHINGLE, SIMILAR = 5, 0.8
+#: At most so many shingles are ordered by the number of their clauses, all others come before them. Any order gives the
+#: same result, only the number of comparisons differs.
+MOST_FREQUENT = 100_000
+#: Least sizes of the classes of clauses by their number of shingles: one size each, then sizes within a twentieth.
+CLASSES = list(range(1, 33))
+while CLASSES[-1] < 1 << 31:
+    CLASSES.append(CLASSES[-1] * 21 // 20)
+#: Keys that a Python worker gives out at a time.
+KEYS = 1 << 18
 #: A template recurs if it opens answers to at least so many different questions.
 RECURS = 3
 #: A formula accompanies refusals if at least this part of its questions is refused; a template is a refusal if at
@@ -291,58 +302,92 @@ def _shingles(clause: str) -> list[int]:
     return sorted({zlib.crc32(" ".join(words[i : i + SHINGLE]).encode()) for i in range(max(1, len(words) - SHINGLE + 1))})
 
 
-_RANDOM = np.random.default_rng(7)
-_MULTIPLY = _RANDOM.integers(1, 1 << 61, HASHES, dtype=np.uint64) | np.uint64(1)
-_ADD = _RANDOM.integers(0, 1 << 61, HASHES, dtype=np.uint64)
+def _least(n: int, m: int) -> int:
+    """The shingles that two clauses of ``n`` and ``m`` shingles have in common if they are similar."""
+    return math.ceil((n + m) * SIMILAR / (1 + SIMILAR) - 1e-9)
 
 
-def _bands(shingles: list[list[int]]) -> list[np.ndarray]:
-    """The keys of the MinHash bands of many sets at once: the least value of each hash, mixed by bands."""
-    if not shingles:
-        return []
-    sizes = np.array([len(x) for x in shingles])
-    flat = np.fromiter((x for own in shingles for x in own), np.uint64, sizes.sum())
-    starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
-    with np.errstate(over="ignore"):
-        low = np.stack([np.minimum.reduceat((flat * m + a) >> np.uint64(20), starts) for m, a in zip(_MULTIPLY, _ADD, strict=True)], axis=1)
-        keys = np.zeros((len(sizes), HASHES // BAND), np.uint64)
-        for i in range(BAND):
-            keys = (keys ^ low[:, i::BAND]) * _MULTIPLY[i] + _ADD[i]
-        # the band's number keeps equal values of different bands apart
-        keys = (keys + np.arange(HASHES // BAND, dtype=np.uint64)) * _MULTIPLY[BAND]
-    return list(keys.view(np.int64))
+@lru_cache(256)
+def _reach(n: int) -> tuple[int, np.ndarray, np.ndarray]:
+    """The class of a clause of ``n`` shingles, and the places and class pairs of its keys.
+
+    The first common shingle of two similar clauses, in any common order, is among the first n - least + 1 of each. How
+    many these are follows from both sizes, so a clause has keys of its own for every class it may be similar to.
+    """
+    own, last = (int(np.searchsorted(CLASSES, x, "right")) - 1 for x in (n, math.floor(n / SIMILAR + 1e-9)))
+    shortest = math.ceil(n * SIMILAR - 1e-9)
+    places, pairs = [], []
+    for other in range(int(np.searchsorted(CLASSES, shortest, "right")) - 1, last + 1):
+        least = _least(n, max(shortest, CLASSES[other]))
+        # of the size of its own, only an equal set may be similar, and equal sets are one
+        if other == own and least == n:
+            continue
+        places += range(n - least + 1)
+        pairs += [min(own, other) << 16 | max(own, other)] * (n - least + 1)
+    return own, np.array(places, np.int64), np.array(pairs, np.uint64)
+
+
+def _keys(parts: Iterator[pd.DataFrame], frequent: np.ndarray, often: np.ndarray) -> Iterator[pd.DataFrame]:
+    """(c, class, band): the keys of each set of shingles; a band is a 32-bit shingle and a pair of classes."""
+    for part in parts:
+        sizes = part["shingles"].map(len).to_numpy()
+        for n in np.unique(sizes).tolist():
+            own, places, pairs = _reach(n)
+            at = np.flatnonzero(sizes == n)
+            for some in np.array_split(at, math.ceil(len(at) * max(n, len(places)) / KEYS)) if len(places) else ():
+                sets = np.stack(part["shingles"].iloc[some].tolist())
+                rank = np.zeros(sets.shape, np.int64)
+                if len(frequent):
+                    found = np.minimum(np.searchsorted(frequent, sets), len(frequent) - 1)
+                    rank = np.where(frequent[found] == sets, often[found], 0)
+                first = np.take_along_axis(sets, np.lexsort((sets, rank), axis=-1), 1)[:, places]
+                band = (first.astype(np.uint64) << np.uint64(32) | pairs).view(np.int64)
+                yield pd.DataFrame({"c": np.repeat(part["c"].to_numpy()[some], len(places)), "class": own, "band": band.ravel()})
 
 
 def _signed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Each clause by its number, with its shingles and the keys of its MinHash bands."""
+    """Each clause by its number, with its shingles."""
     for batch in batches:
         shingles = [_shingles(c) for c in batch["clause"]]
-        bands = _bands(shingles)
         slot = ["#" in c for c in batch["clause"]]
         declined = [declines(c) for c in batch["clause"]]
-        yield batch[["c", "questions"]].assign(shingles=shingles, bands=bands, words=[len(_words(c)) for c in batch["clause"]], slot=slot, declined=declined)
+        yield batch[["c", "questions"]].assign(shingles=shingles, words=[len(_words(c)) for c in batch["clause"]], slot=slot, declined=declined)
 
 
 def _clusters(signed: DataFrame, store: Store) -> DataFrame:
     """(c, template): every clause with the smallest clause of its cluster.
 
-    The clauses of a band bucket are compared with its smallest one. Those that are similar to none of these are put
-    in the buckets of each two bands that they share with others, which are much smaller, and compared with the smallest
-    there. Similarity is verified on the shingles; connected links give the clusters.
+    Clauses are linked if they are similar, and connected links give the clusters. Equal sets of shingles are compared
+    once. Of two similar sets, some of the rarest shingles of both are the same, so they share a bucket. The sets of a
+    bucket are compared with its smallest one; those that are similar to it are linked through it, and each of the others
+    is compared with all of the bucket.
     """
-    shingles = signed.select("c", "shingles")
-
-    def linked(keyed: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
-        first = keyed.groupBy("band").agg(F.min("c").alias("to"), F.count("*").alias("n")).where(F.col("n") > 1).select("band", "to")
-        near = store.write(keyed.join(first, "band").where(F.col("c") != F.col("to")), f"near-{name}")
+    sets = store.write(signed.groupBy("shingles").agg(F.min("c").alias("c"), F.count("*").alias("n")), "sets")
+    same = sets.where(F.col("n") > 1).select("shingles", F.col("c").alias("v"))
+    same = signed.select(F.col("c").alias("u"), "shingles").join(same, "shingles").where(F.col("u") != F.col("v")).select("u", "v")
+    shingles = sets.select("c", "shingles")
+    counts = sets.select(F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.count("*").alias("n")).where(F.col("n") > 1)
+    most = counts.orderBy(F.desc("n"), "shingle").limit(MOST_FREQUENT).toPandas().sort_values("shingle")
+    order = signed.sparkSession.sparkContext.broadcast((most["shingle"].to_numpy(np.int64), most["n"].to_numpy(np.int64)))
+    keyed = store.write(shingles.mapInPandas(lambda parts: _keys(parts, *order.value), "c long, class int, band long"), "keys")
+
+    def similar(pairs: DataFrame, name: str) -> DataFrame:
+        """The pairs (u, v) that are similar."""
         both = F.size(F.array_intersect("sa", "sb"))
-        pairs = near.select("c", "to").distinct().join(shingles.withColumnRenamed("shingles", "sa"), "c").join(shingles.select(F.col("c").alias("to"), F.col("shingles").alias("sb")), "to")
-        return near, store.write(pairs.where(both >= SIMILAR * (F.size("sa") + F.size("sb") - both)).select(F.col("c").alias("u"), F.col("to").alias("v")), f"links-{name}")
-
-    near, links = linked(signed.select("c", F.explode("bands").alias("band")), "bands")
-    left = near.join(links.select(F.col("u").alias("c")).distinct(), "c", "left_anti").select("c", "band")
-    twice = left.join(left.select("c", F.col("band").alias("other")), "c").where(F.col("band") < F.col("other"))
-    links = links.unionByName(linked(twice.select("c", F.xxhash64("band", "other").alias("band")), "pairs")[1])
+        pairs = pairs.join(shingles.select(F.col("c").alias("u"), F.col("shingles").alias("sa")), "u").join(shingles.select(F.col("c").alias("v"), F.col("shingles").alias("sb")), "v")
+        return store.write(pairs.where(both >= SIMILAR * (F.size("sa") + F.size("sb") - both)).select("u", "v"), name)
+
+    one_class = F.col("band").bitwiseAND(0xFFFF) == F.shiftright("band", 16).bitwiseAND(0xFFFF)
+    buckets = keyed.groupBy("band").agg(F.min("c").alias("v"), F.count("*").alias("n"), F.min("class").alias("least"), F.max("class").alias("most"))
+    buckets = buckets.where((F.col("n") > 1) & (one_class | (F.col("least") < F.col("most")))).select("band", "v")
+    near = store.write(keyed.join(buckets, "band").select("band", F.col("c").alias("u"), "v", "class").where(F.col("u") != F.col("v")), "near")
+    store.drop("keys")
+    links = similar(near.select("u", "v").distinct(), "links-first")
+    others = near.select("band", F.col("u").alias("other"), F.col("class").alias("other_class"))
+    left = near.join(links, ["u", "v"], "left_anti").join(others, "band")
+    left = left.where((F.col("u") != F.col("other")) & (one_class | (F.col("class") != F.col("other_class"))))
+    left = left.select(F.greatest("u", "other").alias("u"), F.least("u", "other").alias("v")).distinct()
+    links = links.unionByName(similar(left, "links-others")).unionByName(same)
     roots = components(links, store)
     least = roots.groupBy("root").agg(F.min("v").alias("template"))
     roots = roots.join(least, "root").select(F.col("v").alias("c"), "template")
@@ -356,7 +401,7 @@ def _templates(openings: DataFrame, store: Store) -> DataFrame:
     clauses decline; a clause that does not recur, if it does. From the seeds, the others are found by recurrence.
     """
     clauses = openings.groupBy("clause").agg(F.count_distinct("asked").alias("questions")).withColumn("c", F.xxhash64("clause"))
-    signed = store.write(clauses.mapInPandas(_signed, "c long, questions long, shingles array<long>, bands array<long>, words int, slot boolean, declined boolean"), "clauses")
+    signed = store.write(clauses.mapInPandas(_signed, "c long, questions long, shingles array<long>, words int, slot boolean, declined boolean"), "clauses")
     placed = store.write(_clusters(signed, store), "placed")
     sums = placed.groupBy("template").agg(F.sum("questions").alias("questions"), F.avg(F.col("declined").cast("int")).alias("declining"), F.min("words").alias("words"), F.min("slot").alias("slot"))
     sums = store.write(sums.where((F.col("questions") >= RECURS) | (F.col("declining") == 1.0)), "sums")

@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from auditlake.llm import bpe, broken_pairs, grammars, leakage, sentences, syntax
+from auditlake.plans.store import Store
 
 TOKENIZERS = os.environ.get("AUDITLAKE_TOKENIZERS", "/opt/tokenizers")
 
@@ -179,6 +180,45 @@ def test_refusals_by_recurrence(spark):
     assert got == {i: "refusal" for i, _, a in rows if "not able" in a or "must pass" in a}
 
 
+def test_every_similar_clause_is_a_refusal(spark):
+    """A clause that says no phrase of refusals, in 0.82 of its shingles like two that do, is one by their cluster."""
+    draw = random.Random(3)
+    rows = []
+    for i in range(300):
+        rest = " ".join("".join(draw.choices("bcdfgklmnprstvz", k=7)) for _ in range(20))
+        rows += [(3 * i, f"I cannot help with {rest}."), (3 * i + 1, f"I cannot help with {rest} anew."), (3 * i + 2, f"I never help with {rest}.")]
+    df = spark.createDataFrame([(i, [("user", f"Question {i}?"), ("assistant", a)]) for i, a in rows], "conv_id long, messages array<struct<role:string,content:string>>")
+    got = {r[0]: r[2] for r in broken_pairs.defects(df, "conv_id", "messages").collect()}
+    assert got == {i: "refusal" for i, _ in rows}
+
+
+def test_clusters_by_brute_force(spark):
+    """Chains of similar sets of 1 to 150 shingles, hot shingles, equal sets and large sets; all pairs are compared."""
+    draw = random.Random(5)
+    hot = draw.sample(range(1 << 32), 8)
+    large = draw.sample(range(1 << 32), 2500)
+    sets = [set(large), set(large[:2100]), set(large[400:])]
+    for size in [*range(1, 40), 60, 90, 150]:
+        own = set(draw.sample(range(1 << 32), size))
+        for _ in range(8):
+            sets.append(set(own))
+            # as many others as may leave a similar set, or one too many
+            for x in draw.sample(sorted(own), min(len(own) - 1, draw.randint(0, size // 9 + 1))):
+                own.remove(x)
+            own |= set(draw.sample(range(1 << 32), draw.randint(0, size // 9 + 1)))
+    sets += [{*hot, x} for x in draw.sample(range(1 << 32), 40)] + [{*hot[:4], x} for x in draw.sample(range(1 << 32), 40)] + [set(hot[:4])]
+    ids = draw.sample(range(-1000, 1000), len(sets))
+    root = list(range(len(sets)))
+    for i in range(len(sets)):
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]) and root[i] != root[j]:
+                root = [root[j] if r == root[i] else r for r in root]
+    least = {r: min(c for c, x in zip(ids, root, strict=True) if x == r) for r in root}
+    signed = spark.createDataFrame([(c, 1, sorted(s), 1, False, False) for c, s in zip(ids, sets, strict=True)], "c long, questions long, shingles array<long>, words int, slot boolean, declined boolean")
+    got = {r["c"]: r["template"] for r in broken_pairs._clusters(signed, Store(spark, "clusters")).collect()}
+    assert got == {c: least[r] for c, r in zip(ids, root, strict=True)}
+
+
 @pytest.fixture(scope="module")
 def encoder():
     with open(f"{TOKENIZERS}/byte_bpe_50k.json", encoding="utf-8") as file:
