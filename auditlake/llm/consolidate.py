@@ -2,11 +2,15 @@
 
 Method: low-diameter decomposition. Vertices are records, joined by each key to its first one; clusters grow from
 exponentially shifted start times, contract to super-vertices, the edges between clusters go to the next level, and the
-assignments of all levels are composed.
+assignments of all levels are composed. A level of few edges, and all after it, are worked off in one task.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +21,9 @@ from auditlake.plans.store import Store
 RATE = 0.1
 #: Rounds of a wave that are planned at once; after each such batch its state is written and checked for changes.
 BATCH = 8
+#: Edges, both directions counted, from which a level's waves run as joins of tables. Up to that many, some 40 MB of
+#: numbers, one task runs them: every round by joins costs the driver a plan, a job and threads, however small the table.
+ONE_TASK = 1 << 18
 
 
 def advisory_key(field: Column) -> Column:
@@ -72,6 +79,43 @@ def _clusters(edges: DataFrame, level: int, store: Store) -> DataFrame:
             return state.select("v", "owner")
 
 
+def _waves(u: np.ndarray, v: np.ndarray, count: int, level: int) -> np.ndarray:
+    """The owner of each of the vertices 0 to ``count`` - 1 over edges in both directions, as in ``_clusters``."""
+    at = -np.random.default_rng(level).exponential(1 / RATE, count)
+    owner = np.arange(count)
+    while True:
+        arrival = at[u] + 1
+        best = at.copy()
+        np.minimum.at(best, v, arrival)
+        won = (arrival < at[v]) & (arrival == best[v])
+        if not won.any():
+            return owner
+        owner[v[won]], at = owner[u[won]], best
+
+
+def _finished(edges: DataFrame, level: int) -> DataFrame:
+    """(v, root) of ``edges`` (both directions) in one task: the waves of ``level`` and of all levels after it.
+
+    The shifts come from a generator seeded by the level, over the vertices in order, so that a lost task draws them again.
+    """
+
+    def local(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parts = [batch[["u", "v"]].to_numpy() for batch in batches]
+        if not sum(map(len, parts)):
+            return
+        names, ends = np.unique(np.concatenate(parts), return_inverse=True)
+        u, v = ends.reshape(-1, 2).T
+        root, at = np.arange(len(names)), level
+        while len(u):
+            owner = _waves(u, v, len(names), at)
+            root, at = owner[root], at + 1
+            a, b = owner[u], owner[v]
+            u, v = np.divmod(np.unique((a * len(names) + b)[a != b]), len(names))
+        yield pd.DataFrame({"v": names, "root": names[root]})
+
+    return edges.coalesce(1).mapInPandas(local, "v long, root long")
+
+
 def components(links: DataFrame, store: Store) -> DataFrame:
     """(v, root) for every vertex of the undirected ``links`` (u, v), both numbers; tables are written each level."""
 
@@ -80,7 +124,7 @@ def components(links: DataFrame, store: Store) -> DataFrame:
         return pairs.select("e.u", "e.v").distinct()
 
     edges, levels = store.write(both(links), "edges-0"), []
-    while not edges.isEmpty():
+    while edges.count() > ONE_TASK:
         level = len(levels)
         owners = _clusters(edges, level, store)
         levels.append(owners)
@@ -89,11 +133,9 @@ def components(links: DataFrame, store: Store) -> DataFrame:
         cut = edges.where(F.col("u") < F.col("v")).join(tail, "u").join(head, "v").select(F.col("a").alias("u"), F.col("b").alias("v"))
         edges = store.write(both(cut), f"edges-{level + 1}")
         store.drop(f"edges-{level}")
-    if not levels:
-        return edges.select("v", F.col("u").alias("root"))
-    # from the last level, which is the smallest, to the first
-    roots = levels[-1].withColumnRenamed("owner", "root")
-    for owners in reversed(levels[:-1]):
+    # from the last levels, which are the smallest, to the first
+    roots = store.write(_finished(edges, len(levels)), "roots")
+    for owners in reversed(levels):
         upper = roots.select(F.col("v").alias("owner"), "root")
         roots = owners.join(upper, "owner", "left").select("v", F.coalesce("root", "owner").alias("root"))
     return roots

@@ -270,6 +270,58 @@ def test_waves_of_a_chain_end_by_themselves(spark):
     assert cut < 1 - 2.718281828**-consolidate.RATE + 0.02
 
 
+def _random_links(seed: int) -> tuple[list[tuple], set[frozenset]]:
+    """Links of many small groups, a star, a chain and a dense group, repeated and to themselves; and their groups."""
+    r = random.Random(seed)
+    links = [(r.randrange(0, 600), r.randrange(0, 600)) for _ in range(260)] + [(1000, 1001 + i) for i in range(200)]
+    links += [(3000 + i, 3001 + i) for i in range(250)] + [(10**15 + r.randrange(20), 10**15 + r.randrange(20)) for _ in range(100)] + [(7, 7), (3001, 3000)]
+    parent = {x: x for a, b in links if a != b for x in (a, b)}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in links:
+        if a != b:
+            parent[find(a)] = find(b)
+    groups = defaultdict(set)
+    for x in parent:
+        groups[find(x)].add(x)
+    return links, {frozenset(g) for g in groups.values()}
+
+
+def _rooted(spark, links: list[tuple], store) -> set[frozenset]:
+    groups = defaultdict(set)
+    rows = consolidate.components(spark.createDataFrame(links, "u long, v long"), store).collect()
+    assert len({x["v"] for x in rows}) == len(rows)
+    for x in rows:
+        groups[x["root"]].add(x["v"])
+    return {frozenset(g) for g in groups.values()}
+
+
+@pytest.mark.parametrize("edges", [0, 60, 1 << 18])
+def test_components_by_joins_and_in_one_task(spark, monkeypatch, edges):
+    """All levels by joins, the first ones, or none: the same groups."""
+    from auditlake.plans.store import Store
+
+    monkeypatch.setattr(consolidate, "ONE_TASK", edges)
+    links, want = _random_links(edges)
+    assert _rooted(spark, links, Store(spark, "components")) == want
+    assert _rooted(spark, [(5, 5)], Store(spark, "components")) == set()
+
+
+def test_small_graphs_take_few_jobs(spark):
+    """The driver pays memory for every job and exchange, so a small graph must not take rounds of them."""
+    from auditlake.plans.store import Store
+
+    scheduler = spark.sparkContext._jsc.sc().dagScheduler()
+    links, want = _random_links(1)
+    before = scheduler.nextJobId()
+    assert _rooted(spark, links, Store(spark, "few")) == want
+    assert scheduler.nextJobId() - before <= 10
+
+
 def test_chunks_cut_by_content_and_give_overlap_fractions(spark):
     r = random.Random(3)
     vocabulary = [f"w{i}" for i in range(400)]
